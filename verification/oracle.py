@@ -168,7 +168,7 @@ def _all_slices(kind: str) -> str:
             for v in LEVEL_FORMAT
         ]
         struct = "hour" not in levels and slice_type != "yearSum"
-        days = "count(DISTINCT CAST(startdate AS DATE))" if struct else "NULL"
+        days = "count(DISTINCT CAST(startdate AS DATE))" if struct else "0"
         parts.append(
             f"SELECT '{slice_type}' AS \"histType\", {keys}, {', '.join(columns)}, "
             f'CAST({days} AS BIGINT) AS "count", CAST(count(*) AS BIGINT) AS "hourCount", '

@@ -193,7 +193,8 @@ def base_cells(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 def all_slices_query(kind: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return all_slices(base_cells(spark, sf_dir, kind), KEYS[kind])
+        slices = all_slices(base_cells(spark, sf_dir, kind), KEYS[kind])
+        return slices.withColumn("count", F.coalesce("count", F.lit(0)).cast("bigint"))
 
     return query
 
