@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -41,16 +42,43 @@ def billable_flag(billable: Column) -> Column:
     return F.when(billable == "No", 0).otherwise(1)
 
 
-def tags_of(
-    project: Column,
-    description: Column,
+# Letters outside ASCII whose lower case contains an ASCII letter.
+_FALSE_LOWER = ("\u0130", "\u212a")
+
+
+def folded(text: Column) -> Column:
+    """Lower case in which ASCII letters come from ASCII letters only."""
+    for letter in _FALSE_LOWER:
+        text = F.replace(text, F.lit(letter), F.lit("\x00"))
+    return F.lower(text)
+
+
+def _matches(text: Column, low: Column, pattern: str) -> Column:
+    """Case-insensitive test; alternatives of plain words need no regular expression."""
+    if not re.fullmatch(r"[a-z0-9 |]+", pattern):
+        return text.rlike(f"(?i){pattern}")
+    found = None
+    for word in pattern.split("|"):
+        hit = low.contains(word)
+        found = hit if found is None else found | hit
+    return found
+
+
+def matching_tags(
+    project: tuple[Column, Column],
+    description: tuple[Column, Column],
     project_rules: Sequence[tuple[str, str]] = PROJECT_TAG_RULES,
     description_rules: Sequence[tuple[str, str]] = DESCRIPTION_TAG_RULES,
-    no_tag: str = NO_TAG,
 ) -> Column:
-    """Tags of all matching rules in rule order, each once; ``[no_tag]`` if none."""
+    """Tags of all matching rules in rule order, each once; empty if none match.
+
+    Both texts come with their folded form.
+    """
     tested = [(project, rule) for rule in project_rules]
     tested += [(description, rule) for rule in description_rules]
-    hits = [F.when(text.rlike(f"(?i){pattern}"), F.lit(tag)) for text, (tag, pattern) in tested]
-    tags = F.array_except(F.array(*hits), F.array(F.lit(None).cast("string")))
+    hits = [F.when(_matches(*text, pattern), F.lit(tag)) for text, (tag, pattern) in tested]
+    return F.array_except(F.array(*hits), F.array(F.lit(None).cast("string")))
+
+
+def or_no_tag(tags: Column, no_tag: str = NO_TAG) -> Column:
     return F.when(F.size(tags) == 0, F.array(F.lit(no_tag))).otherwise(tags)

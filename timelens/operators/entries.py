@@ -6,7 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timelens.fixed_values import CSV_TIMESTAMP_FORMAT, ISO_FORMAT
-from timelens.functions.rules import billable_flag, clean_description, default_project, tags_of
+from timelens.functions.rules import (
+    billable_flag,
+    clean_description,
+    default_project,
+    folded,
+    matching_tags,
+    or_no_tag,
+)
 
 ENTRY_COLUMNS = ("project", "description", "type", "billable", "start", "end", "duration")
 
@@ -46,7 +53,18 @@ def clean_entries(rows: DataFrame) -> DataFrame:
 
 
 def tag_entries(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("type", tags_of(F.col("project"), F.col("description")))
+    """Add ``type``: the tags of an entry, ``UNKNOWN`` if no rule matches.
+
+    Folding, rules and default are three steps, because each looks at the result
+    of the one before more than once: so every entry is folded and tested once.
+    """
+    project, description = F.col("project"), F.col("description")
+    low = rows.withColumns({"_project": folded(project), "_description": folded(description)})
+    found = matching_tags(
+        (project, F.col("_project")), (description, F.col("_description"))
+    )
+    tagged = low.withColumn("type", found).drop("_project", "_description")
+    return tagged.withColumn("type", or_no_tag(F.col("type")))
 
 
 def entries_from_export(rows: DataFrame) -> DataFrame:

@@ -44,8 +44,12 @@ def hour_fanout(entries: DataFrame) -> DataFrame:
 
 
 def explode_tags(rows: DataFrame, tag: str = "tag") -> DataFrame:
-    """One row per tag; rows without tags disappear."""
-    return rows.withColumn(tag, F.explode("type"))
+    """One row per tag; rows without tags disappear.
+
+    The test for emptiness is part of the generator. Left to the optimizer it
+    becomes a filter that is pushed down and runs all tag rules a second time.
+    """
+    return rows.withColumn(tag, F.explode(F.when(F.size("type") > 0, F.col("type"))))
 
 
 def touching(entries: DataFrame, year: str | None = None, month: str | None = None) -> DataFrame:

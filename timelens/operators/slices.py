@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from timelens.fixed_values import SLICES
 from timelens.functions.timeparts import level_number, level_text
-from timelens.operators.expand import hour_fanout
+from timelens.operators.expand import explode_tags, hour_fanout
 
 LEVELS = ("year", "month", "day", "hour")
 BASE_KEYS = ("project", "description", "type")
@@ -55,7 +55,7 @@ def hour_cells(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def tag_cells(cells: DataFrame) -> DataFrame:
     """Cells keyed by tag: a cell counts in full under each of its tags."""
-    return cells.withColumn("tag", F.explode("type"))
+    return explode_tags(cells)
 
 
 def rollup_base(entries: DataFrame, keys: Sequence[str] = BASE_KEYS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timelens.functions.timeparts import level_text, time_values
+from timelens.operators.expand import explode_tags
 
 
 def concat_key(project: Column, description: Column) -> Column:
@@ -70,7 +71,7 @@ def group_totals(entries: DataFrame, duration: str = "duration") -> DataFrame:
 
 def distinct_tags(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Sorted distinct tags per key."""
-    pairs = entries.select(*keys, F.explode("type").alias("tag")).distinct()
+    pairs = explode_tags(entries.select(*keys, "type")).select(*keys, "tag").distinct()
     return pairs.groupBy(*keys).agg(F.sort_array(F.collect_set("tag")).alias("types"))
 
 
