@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timelens.functions.labels import time_label
-from timelens.operators.nesting import hist_json, json_object
-from timelens.operators.totals import attach_tags
+from timelens.operators.nesting import json_object
 
 
 def labelled_times(totals: DataFrame, compat: bool = False) -> DataFrame:
@@ -36,35 +35,34 @@ def by_time(labelled: DataFrame, section: str, by_total: bool = False) -> DataFr
     )
 
 
-def _entity_json(header: Column, members: Column) -> Column:
-    """Put the slice members behind the fields of the header object."""
-    inside = F.expr("length(head) - 1")
-    return F.concat(header.substr(F.lit(1), inside), F.lit(","), members.substr(F.lit(2), F.length(members)))
-
-
-def _slices_object(hists: DataFrame, keys: list[str]) -> DataFrame:
+def _slices_object() -> Column:
     """All slices of an entity as one JSON object, at most 16 members."""
     pairs = F.collect_list(F.struct(F.col("histType").alias("k"), F.col("hist").alias("v")))
-    return hists.groupBy(*keys).agg(json_object(F.array_sort(pairs)).alias("slices"))
+    return json_object(F.array_sort(pairs))
 
 
-def by_tag(slices: DataFrame) -> DataFrame:
+def by_tag(hists: DataFrame) -> DataFrame:
     """Tag to slice to histogram."""
-    document = _slices_object(hist_json(slices, ["tag"]), ["tag"])
-    return document.select(
-        F.lit("byType.all").alias("section"), F.col("tag").alias("entity"), F.col("slices").alias("json")
+    return hists.groupBy("tag").agg(_slices_object().alias("json")).select(
+        F.lit("byType.all").alias("section"), F.col("tag").alias("entity"), "json"
     )
 
 
-def by_entity(slices: DataFrame, types: DataFrame, keys: list[str], section: str) -> DataFrame:
-    """One record per project or group: its names, its tags, its histograms."""
-    document = attach_tags(_slices_object(hist_json(slices, keys), keys), types, keys)
-    head = F.to_json(F.struct(*keys, F.col("types").alias("type")))
-    entity = F.concat_ws("|", *keys)
-    return document.withColumn("head", head).select(
-        F.lit(section).alias("section"),
-        entity.alias("entity"),
-        _entity_json(F.col("head"), F.col("slices")).alias("json"),
+def by_entity(hists: DataFrame, keys: list[str], section: str) -> DataFrame:
+    """One record per project or group: its names, its tags, its histograms.
+
+    The slices are JSON text already, so their members are set behind those of
+    the record.
+    """
+    record = hists.groupBy(*keys).agg(
+        F.first("types").alias("type"), _slices_object().alias("slices")
+    )
+    head = F.to_json(F.struct(*keys, "type"))
+    json = F.concat(
+        F.regexp_replace(head, r"\}\z", ","), F.expr("substring(slices, 2)")
+    )
+    return record.select(
+        F.lit(section).alias("section"), F.concat_ws("|", *keys).alias("entity"), json.alias("json")
     )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from timelens.operators.document import by_entity, by_tag, by_time, labelled_times, totals_sections
 from timelens.operators.entries import entries_from_export
@@ -58,34 +57,25 @@ def build_document(
 ) -> None:
     """Rollup tables to the sections of the result document, as JSON lines."""
 
-    def slices(name: str) -> DataFrame:
-        return read_table(spark, f"{rollups}/slices_{name}")
+    def table(name: str) -> DataFrame:
+        return read_table(spark, f"{rollups}/{name}")
 
-    def types(name: str) -> DataFrame:
-        return read_table(spark, f"{rollups}/types_{name}")
-
-    write_documents(
-        document_rows(
-            read_table(spark, f"{rollups}/totalsTime"),
-            slices("totalsTyped"),
-            slices("totalsGrouped"),
-            types("totalsGrouped"),
-            slices("totalsProject"),
-            types("totalsProject"),
-            read_table(spark, f"{rollups}/totals"),
-            compat_labels,
-        ),
-        out,
+    rows = document_rows(
+        table("totalsTime"),
+        table("totalsTyped"),
+        table("totalsGrouped"),
+        table("totalsProject"),
+        table("totals"),
+        compat_labels,
     )
+    write_documents(rows, out)
 
 
 def document_rows(
     times: DataFrame,
-    tag_slices: DataFrame,
-    group_slices: DataFrame,
-    group_types: DataFrame,
-    project_slices: DataFrame,
-    project_types: DataFrame,
+    tag_hists: DataFrame,
+    group_hists: DataFrame,
+    project_hists: DataFrame,
     total_rows: DataFrame,
     compat_labels: bool = False,
 ) -> DataFrame:
@@ -95,9 +85,9 @@ def document_rows(
     sections = [
         by_time(top, "byTime.top", by_total=True),
         by_time(labelled, "byTime.all"),
-        by_tag(tag_slices),
-        by_entity(group_slices, group_types, ["project", "description"], "byGroup.all"),
-        by_entity(project_slices, project_types, ["project"], "byProject.all"),
+        by_tag(tag_hists),
+        by_entity(group_hists, ["project", "description"], "byGroup.all"),
+        by_entity(project_hists, ["project"], "byProject.all"),
         totals_sections(total_rows),
     ]
     rows = sections[0]

@@ -357,14 +357,15 @@ def document_by_time(section: str) -> Query:
 
 
 def document_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_tag(all_slices(base_cells(spark, sf_dir, "tag"), ["tag"]))
+    return by_tag(hist_json(all_slices(base_cells(spark, sf_dir, "tag"), ["tag"]), ["tag"]))
 
 
 def document_by_entity(kind: str, section: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         keys = KEYS[kind]
-        slices = all_slices(base_cells(spark, sf_dir, kind), keys)
-        return by_entity(slices, distinct_tags(order_entries(spark, sf_dir), keys), keys, section)
+        hists = hist_json(all_slices(base_cells(spark, sf_dir, kind), keys), keys)
+        types = distinct_tags(order_entries(spark, sf_dir), keys)
+        return by_entity(attach_tags(hists, types, keys), keys, section)
 
     return query
 
