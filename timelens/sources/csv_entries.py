@@ -26,7 +26,8 @@ def scan_csv(
 ) -> DataFrame:
     """Read one or many exports; columns count by position, the header is skipped.
 
-    A malformed row fails the job. Only the used columns are parsed. Empty text
+    A malformed row fails the job. For that all 13 columns are parsed: with
+    column pruning Spark would not notice a row of the wrong width. Empty text
     stays empty text. ``multiline`` allows line breaks inside quoted fields, at
     the price of one task per file.
     """
@@ -37,6 +38,7 @@ def scan_csv(
         .option("mode", "FAILFAST")
         .option("escape", '"')
         .option("multiLine", multiline)
+        .option("columnPruning", False)
         .csv(paths if isinstance(paths, str) else list(paths))
     )
     return rows.select(

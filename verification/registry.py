@@ -374,23 +374,26 @@ def document_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals_sections(totals(order_entries(spark, sf_dir)))
 
 
-def _violations(entries: DataFrame, tags) -> DataFrame:
-    base = rollup_base(entries)
+def _violations(spark: SparkSession, entries: DataFrame) -> DataFrame:
+    """Checks over written slice tables; each check reads them, none builds them again."""
+    out = new_work_dir(spark, "slices")
+    write_table(rollup_base(entries), f"{out}/base")
+    base = read_table(spark, f"{out}/base")
+    for kind, keys in KEYS.items():
+        cells = tag_cells(base) if kind == "tag" else base
+        write_table(all_slices(cells, keys), f"{out}/{kind}")
     return rollup_violations(
-        all_slices(base, ["project"]),
-        all_slices(base, ["project", "description"]),
-        all_slices(tag_cells(base), ["tag"]),
-        tags,
+        *[read_table(spark, f"{out}/{kind}") for kind in ("project", "group", "tag")], TAGS
     )
 
 
 def quality_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _violations(order_entries(spark, sf_dir), TAGS)
+    return _violations(spark, order_entries(spark, sf_dir))
 
 
 def quality_violations_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types are no known tags, so every one of them is reported."""
-    return _violations(event_entries(spark, sf_dir), TAGS)
+    return _violations(spark, event_entries(spark, sf_dir))
 
 
 def row_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
