@@ -103,18 +103,22 @@ def all_slices(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Two grouping-sets jobs instead of 16: the hour slices start from cells
     already added up to year, month, weekday and hour, the day slices from cells
-    added up per date, so the expansion multiplies small rows only. Levels a
-    slice does not have are null; ``count`` is null in hour slices.
+    added up per date, so the expansion multiplies small rows only. The finest
+    hour slice, by far the largest, is that start itself and is not expanded.
+    Levels a slice does not have are null; ``count`` is null in hour slices.
     """
-    hourly = [s for s in SLICES if is_hourly(s)]
+    finest_slice = "hourDayMonthYearCount"
+    hourly = [s for s in SLICES if is_hourly(s) and s != finest_slice]
     daily = [s for s in SLICES if not is_hourly(s) and s != "yearSum"]
     n = F.sum("n").alias("n")
     seconds = F.sum("seconds").alias("seconds")
 
     finest = cells.groupBy(*keys, *[_number(level) for level in LEVELS]).agg(n, seconds)
-    by_hour = _grouping_sets(
-        finest, keys, LEVELS, {s: SLICES[s] for s in hourly}, [n, seconds]
-    ).withColumn("days", F.lit(None).cast("bigint"))
+    by_hour = (
+        _grouping_sets(finest, keys, LEVELS, {s: SLICES[s] for s in hourly}, [n, seconds])
+        .unionByName(finest.withColumn("histType", F.lit(finest_slice)))
+        .withColumn("days", F.lit(None).cast("bigint"))
+    )
 
     per_day = cells.groupBy(*keys, "date").agg(n, seconds)
     day_levels = LEVELS[:3]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelens.operators.entries import clean_entries, tag_entries
+from timelens.sources.tables import read_table, spread
 
 PROJECTS = (
     "CS 461 Capstone",
@@ -42,7 +43,7 @@ YEARS = tuple(str(y) for y in range(1995, 2002))
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read_table(spark, f"{sf_dir}/{name}.parquet"))
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
