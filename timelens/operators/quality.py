@@ -26,17 +26,11 @@ def unknown_tags(slices: DataFrame, tags: Sequence[str] = TAGS) -> DataFrame:
 
 def missing_slices(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Entities that lack one of the 16 slices."""
-    known = slices.filter(F.col("histType").isin(*SLICES))
-    entities = slices.select(*keys).distinct()
-    found = known.select(*keys, "histType").distinct().groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("found")
-    )
-    bad = entities.join(found, list(keys), "left").filter(
-        F.coalesce("found", F.lit(0)) < len(SLICES)
-    )
-    return _violations(
-        bad, "missing slices", F.concat_ws("|", *keys), F.coalesce("found", F.lit(0))
+    known = F.when(F.col("histType").isin(*SLICES), F.col("histType"))
+    bad = slices.groupBy(*keys).agg(F.count_distinct(known).alias("found")).filter(
+        F.col("found") < len(SLICES)
     )
+    return _violations(bad, "missing slices", F.concat_ws("|", *keys), F.col("found"))
 
 
 def repeated_keys(rows: DataFrame, keys: Sequence[str], table: str) -> DataFrame:

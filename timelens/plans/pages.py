@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timelens.fixed_values import SLICES, TAGS, YEARS
@@ -57,17 +57,21 @@ def chart_series(
     count_type: str = "hourCount",
     years: Sequence[str] = YEARS,
     tags: Sequence[str] = TAGS,
+    convert: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Filled series of one slice, straight from the entries."""
+    """Filled series of one slice, straight from the entries.
+
+    ``convert`` maps every value, the zeros of empty buckets included.
+    """
     options = check_options(slice_type, year, month, count_type)
     cells = slice_cells(entries, kind, options.get("year"), options.get("month"))
     rows = slice_rows(cells, KEYS[kind], slice_type)
     leaves = select_slice(rows, KEYS[kind], slice_type, year, month, count_type)
-    series = fill_series(leaves, KEYS[kind], axis_keys(slice_type, years))
+    series = fill_series(leaves, KEYS[kind], axis_keys(slice_type, years), convert)
     return known_tags(series, tags) if kind == "tag" else series
 
 
-def series_name(kind: str):
+def series_name(kind: str) -> Column:
     if kind == "group":
         return group_name(F.col("project"), F.col("description"))
     return F.col("tag" if kind == "tag" else "project")

@@ -125,7 +125,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first job end to end: exports to the checked entry table."""
     exports, out = new_work_dir(spark, "exports"), new_work_dir(spark, "raw")
-    write_csv(_export_rows(spark, sf_dir), exports)
+    write_csv(_export_rows(spark, sf_dir).drop("export_year"), exports)
     process_exports(spark, exports, out)
     entries = read_table(spark, out)
     return _naive(
