@@ -291,19 +291,19 @@ def max_over_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return largest_value(series)
 
 
-def _heatmap_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _heatmap_1999(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = day_totals(_order_times(spark, sf_dir))
     return calendar_heatmap(days, period(spark, "1999-01-01", "1999-12-31"))
 
 
 def calendar_heatmap_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _heatmap_2000(spark, sf_dir).select(
+    return _heatmap_1999(spark, sf_dir).select(
         "date", "week_start", "dow", "hours", hours_label(F.col("hours")).alias("label")
     )
 
 
 def intensity_bins_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intensity_bins(_heatmap_2000(spark, sf_dir)).select("date", "hours", "largest", "bin")
+    return intensity_bins(_heatmap_1999(spark, sf_dir)).select("date", "hours", "largest", "bin")
 
 
 def heatmap_all_years(spark: SparkSession, sf_dir: str) -> DataFrame:
