@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from timelens.llm import decontaminate, hostrules, mixing, sharding
+from timelens.llm import decontaminate, hostrules, jaccard, mixing, repeats, sharding
 from timelens.llm.sql import ORACLE
 from timelens.llm.tables import read_table
 
@@ -16,6 +17,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge_contamination(docs, benchmark).drop("signature")
 
 
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge_documents(read_table(spark, sf_dir, "documents"))
 
@@ -24,6 +30,10 @@ def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(read_table(spark, sf_dir, "documents"))
 
@@ -33,8 +43,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op2_decontaminate,
+            op3_recompression,
             op4_host_rules,
             op6_rendezvous_shards,
+            op8_jaccard_join,
             op10_curriculum_mix,
         )
     }

@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _classes(inside) -> np.ndarray:
-    return np.array([bool(inside(b)) for b in range(256)])
+    return np.array([int(inside(b)) for b in range(256)], np.uint8)
 
 
 #: Bytes of words that blanks end: ``[^\x20\x09-\x0D]+``.
@@ -48,6 +48,8 @@ ALPHANUMERIC = _classes(
     lambda b: 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80
 )
 _AS_IS = _spread(256, 0x51ED)
+#: Runs of letters and digits, and runs of other visible ASCII characters.
+LETTERS_AND_SIGNS = _classes(lambda b: 1 if ALPHANUMERIC[b] else 2 if 0x20 < b < 0x7F else 0)
 #: The same numbers with A-Z standing for a-z.
 _FOLDED = _AS_IS.copy()
 _FOLDED[0x41:0x5B] = _AS_IS[0x61:0x7B]
@@ -90,22 +92,20 @@ class Words(NamedTuple):
 
 
 def split(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, fold: bool) -> Words:
-    """Words of the texts ``data[offsets[i]:offsets[i + 1]]``; ``fold`` lower-cases A-Z."""
+    """Words of the texts ``data[offsets[i]:offsets[i + 1]]``; ``fold`` lower-cases A-Z.
+
+    ``inside`` tells a class for every byte: 0 separates, and so does a change of class.
+    """
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64))
-    mask = inside[data]
+    kind = inside[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
-    before = np.empty(n, bool)
-    before[0] = False
-    before[1:] = mask[:-1]
-    after = np.empty(n, bool)
-    after[-1] = False
-    after[:-1] = mask[1:]
-    starts = np.flatnonzero(mask & (~before | cut[:-1]))
-    ends = np.flatnonzero(mask & (~after | cut[1:])) + 1
+    cut[1:-1] |= kind[1:] != kind[:-1]
+    starts = np.flatnonzero((kind != 0) & cut[:-1])
+    ends = np.flatnonzero((kind != 0) & cut[1:]) + 1
     up, down = _BYTES.get(n)
     with np.errstate(over="ignore"):
         sums = np.empty(n + 1, np.uint64)
