@@ -43,10 +43,10 @@ def canonical(rows: pd.DataFrame) -> list[tuple]:
     """Rows as sorted tuples of text, columns by name; nulls and numbers made alike."""
 
     def text(value) -> str:
-        if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+        if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
             return "~null"
-        if isinstance(value, float):
-            return repr(round(value, 6))
+        if isinstance(value, float):  # whole numbers become floats where a column has nulls
+            return str(int(value)) if value.is_integer() else repr(round(value, 6))
         if hasattr(value, "isoformat"):
             return pd.Timestamp(value).isoformat()
         return str(value)
