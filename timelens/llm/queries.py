@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelens.llm import decontaminate, hostrules, jaccard, mixing, repeats, sharding
+from timelens.llm import decontaminate, hostrules, jaccard, licenses, mixing, quality, repeats, sharding, toxicity, warc
 from timelens.llm.sql import ORACLE
-from timelens.llm.tables import read_table
+from timelens.llm.tables import read_table, work_dir
+
+
+def op1_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality.judge_quality(docs, labels)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,14 +31,28 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op5_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_pages(read_table(spark, sf_dir, "pages"), work_dir(spark, "warc"))
+    return records.drop("payload")
+
+
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op7_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.judge_toxicity(docs, labels)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(read_table(spark, sf_dir, "documents"))
 
@@ -42,11 +61,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_ngram_quality,
             op2_decontaminate,
             op3_recompression,
             op4_host_rules,
+            op5_dictionary_warc,
             op6_rendezvous_shards,
+            op7_string_kernel_toxicity,
             op8_jaccard_join,
+            op9_license_notices,
             op10_curriculum_mix,
         )
     }

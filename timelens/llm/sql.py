@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from timelens.llm.licenses import CONTAINED, NOTICES, PHRASES
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -186,9 +188,71 @@ SELECT doc_id, size, s AS source_size, target,
 FROM parts
 """
 
+OP5 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS size FROM pages
+),
+d AS (SELECT *, sha1(payload) AS hx, max(page_id) OVER (PARTITION BY payload) AS last_id FROM p)
+SELECT page_id, size::bigint AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(hx, (1 + 5 * (k // 4))::bigint, 5))::int >> (15 - 5 * (k % 4))::int) & 31) + 1, 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last_id THEN NULL ELSE last_id END AS refers_to
+FROM d
+"""
+
+
+def _license_sql() -> str:
+    phrases = ", ".join(f"('{text}', '{label}')" for text, label in PHRASES)
+    notices = ", ".join(f"({i}, '{text}', '{label}')" for i, (text, label) in enumerate(NOTICES))
+    return f"""
+WITH d AS (SELECT doc_id, {_alphanumeric_words('text')} AS ws FROM documents),
+phrases AS (SELECT string_split(p, ' ') AS parts, label FROM (VALUES {phrases}) t(p, label)),
+notices AS (SELECT id, string_split(p, ' ') AS parts, label FROM (VALUES {notices}) t(id, p, label)),
+w AS (SELECT doc_id, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS word FROM d),
+base AS (
+  SELECT w.doc_id, w.i, label FROM w JOIN phrases ON w.word = parts[1] JOIN d ON d.doc_id = w.doc_id
+  WHERE d.ws[w.i + 1:w.i + len(parts)] = parts
+),
+tw AS (
+  SELECT DISTINCT id, label, len(parts) AS length, len(list_distinct(parts)) AS size, unnest(parts) AS word FROM notices
+),
+used AS (SELECT w.doc_id, w.i, w.word, id, label, length, size FROM w JOIN tw ON w.word = tw.word),
+enough AS (
+  SELECT * FROM used SEMI JOIN (
+    SELECT doc_id, id FROM used GROUP BY doc_id, id
+    HAVING count(DISTINCT word) >= ceil({CONTAINED} * min(size) - 1e-9)
+  ) m ON used.doc_id = m.doc_id AND used.id = m.id
+),
+blocks AS (
+  SELECT a.doc_id, a.id, a.i, any_value(a.label) AS label, any_value(a.size) AS size, count(DISTINCT b.word) AS n
+  FROM enough a JOIN enough b ON a.doc_id = b.doc_id AND a.id = b.id AND b.i >= a.i AND b.i < a.i + a.length
+  GROUP BY a.doc_id, a.id, a.i
+),
+met AS (SELECT doc_id, label, n / size AS share FROM blocks WHERE n >= ceil({CONTAINED} * size - 1e-9)),
+said AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM base GROUP BY doc_id
+),
+named AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM met) GROUP BY doc_id
+),
+best AS (SELECT doc_id, max(share) AS score FROM met GROUP BY doc_id)
+SELECT doc_id, len(ws)::bigint AS n_words, coalesce(n_base, 0)::bigint AS n_base, first_word::bigint AS first_word,
+  last_word::bigint AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0.0) END::double AS score
+FROM d LEFT JOIN said USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
 ORACLE = {
     "op2_decontaminate": OP2,
     "op4_host_rules": OP4,
+    "op5_dictionary_warc": OP5,
     "op6_rendezvous_shards": OP6,
+    "op9_license_notices": _license_sql(),
     "op10_curriculum_mix": OP10,
 }
