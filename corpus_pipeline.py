@@ -13,10 +13,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timelens.llm import decontaminate, mixing, sharding
+from timelens.llm import decontaminate, jaccard, mixing, quality, sharding
 from timelens.llm.tables import read_table, settle
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for good; trained on labels of these documents."""
+    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of every group of near duplicates."""
+    return jaccard.keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
@@ -30,6 +40,8 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", good_documents),
+    ("ngram_jaccard_join", one_of_each),
     ("benchmark_decontamination", decontamination),
     ("curriculum_mix", mixture),
     ("sharding", shards),
