@@ -102,7 +102,7 @@ def test_options_of_slices():
             check_options(slice_type, year, month)
     with pytest.raises(ValueError):
         check_options("dayCount", None, None, "days")
-    assert axis_keys("yearSum") == YEARS and axis_keys("monthCount", ("1999",))[0] == "01"
+    assert axis_keys("yearSum", YEARS) == YEARS and axis_keys("monthCount", ("1999",))[0] == "01"
 
 
 def test_selecting_a_slice(spark):

@@ -33,12 +33,12 @@ def chosen() -> list[str]:
         return names
     families = {
         "hist_": ("hist_json_project", "hist_project_hourMonthCount", "hist_tag_dayYearCount"),
-        "series_": ("series_project_monthYearCount", "series_project_yearSum"),
-        "page_": ("page_g1_group", "page_g3_tag", "page_g7_group", "page_g8_heatmap"),
+        "series_": ("series_project_monthYearCount", "series_group_yearSum", "series_tag_dayCount"),
+        "page_": ("page_g1_group", "page_g3_tag", "page_g7_group", "page_g8_heatmap", "page_live_tag_events"),
         "events_": ("events_hist_group_hourDayCount",),
         "document_by_": ("document_by_time_top",),
         "nested_maps_": ("nested_maps_dayMonthYearCount",),
-        "quality_": ("quality_violations_events",),
+        "quality_": ("quality_violations_events", "quality_violations_seeded"),
         "all_slices_": ("all_slices_group", "all_slices_tag"),
         "rollup_tables": (),
         "calendar_heatmap": (),

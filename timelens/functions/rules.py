@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,16 @@ from timelens.fixed_values import (
 )
 
 
+class Rules(NamedTuple):
+    """A rule set: how entries are cleaned and tagged. The default is the library's own."""
+
+    default_project: str = DEFAULT_PROJECT
+    fixes: Sequence[tuple[str, str, str]] = DESCRIPTION_FIXES
+    project_tags: Sequence[tuple[str, str]] = PROJECT_TAG_RULES
+    description_tags: Sequence[tuple[str, str]] = DESCRIPTION_TAG_RULES
+    no_tag: str = NO_TAG
+
+
 def default_project(project: Column, description: Column, name: str = DEFAULT_PROJECT) -> Column:
     """An empty project becomes ``name`` when the description is exactly ``name``."""
     return F.when((project == "") & (description == name), F.lit(name)).otherwise(project)
@@ -77,6 +88,8 @@ def matching_tags(
     tested = [(project, rule) for rule in project_rules]
     tested += [(description, rule) for rule in description_rules]
     hits = [F.when(_matches(*text, pattern), F.lit(tag)) for text, (tag, pattern) in tested]
+    if not hits:
+        return F.array().cast("array<string>")
     return F.array_except(F.array(*hits), F.array(F.lit(None).cast("string")))
 
 

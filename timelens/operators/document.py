@@ -14,6 +14,13 @@ from timelens.functions.labels import time_label
 from timelens.operators.nesting import json_object
 
 
+def _row(section: Column, entity: Column, json: Column, names: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of a section row; names of a project or group are columns of their own."""
+    none = F.lit(None).cast("string")
+    carried = [(F.col(n) if n in names else none).alias(n) for n in ("project", "description")]
+    return [section.alias("section"), entity.alias("entity"), *carried, json.alias("json")]
+
+
 def labelled_times(totals: DataFrame, compat: bool = False) -> DataFrame:
     label = time_label(F.col("timeType"), F.col("timeValue"), compat)
     return totals.withColumn("timeString", label)
@@ -31,7 +38,7 @@ def by_time(labelled: DataFrame, section: str, by_total: bool = False) -> DataFr
     pairs = F.array_sort(F.collect_list(F.struct(rank.alias("rank"), item.alias("item"))))
     items = F.transform(pairs, lambda p: p["item"])
     return labelled.groupBy("timeType").agg(F.to_json(items).alias("json")).select(
-        F.lit(section).alias("section"), F.col("timeType").alias("entity"), "json"
+        *_row(F.lit(section), F.col("timeType"), F.col("json"))
     )
 
 
@@ -44,7 +51,7 @@ def _slices_object() -> Column:
 def by_tag(hists: DataFrame) -> DataFrame:
     """Tag to slice to histogram."""
     return hists.groupBy("tag").agg(_slices_object().alias("json")).select(
-        F.lit("byType.all").alias("section"), F.col("tag").alias("entity"), "json"
+        *_row(F.lit("byType.all"), F.col("tag"), F.col("json"))
     )
 
 
@@ -61,9 +68,7 @@ def by_entity(hists: DataFrame, keys: list[str], section: str) -> DataFrame:
     json = F.concat(
         F.regexp_replace(head, r"\}\z", ","), F.expr("substring(slices, 2)")
     )
-    return record.select(
-        F.lit(section).alias("section"), F.concat_ws("|", *keys).alias("entity"), json.alias("json")
-    )
+    return record.select(*_row(F.lit(section), F.concat_ws("|", *keys), json, tuple(keys)))
 
 
 def totals_sections(totals: DataFrame) -> DataFrame:
@@ -73,8 +78,5 @@ def totals_sections(totals: DataFrame) -> DataFrame:
         .when(F.col("sliceType") == "project.description", "byGroup.totals")
         .otherwise("byType.totals")
     )
-    return totals.select(
-        section.alias("section"),
-        F.col("sliceKey").alias("entity"),
-        F.col("totalTime").cast("string").alias("json"),
-    )
+    json = F.col("totalTime").cast("string")
+    return totals.select(*_row(section, F.col("sliceKey"), json, ("project", "description")))

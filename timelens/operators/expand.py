@@ -26,7 +26,8 @@ def _later_hours(start: Column, end: Column, zone: str) -> Column:
         steps, lambda k: wall_hour(F.timestamp_add("HOUR", k.cast("int"), start)) >= wall_hour(end)
     )
     first = F.array_position(arrived, F.lit(True))
-    return F.when(first > 0, first - 1).otherwise(elapsed + 2)
+    missed = F.raise_error(F.concat(F.lit("no end found for the entry from "), start.cast("string")))
+    return F.when(first > 0, first - 1).otherwise(missed.cast("bigint"))
 
 
 def hour_fanout(entries: DataFrame) -> DataFrame:

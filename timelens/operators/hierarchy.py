@@ -27,7 +27,8 @@ def share_extents(groups: DataFrame, extent: float = 1.0) -> DataFrame:
     """Interval ``[x0, x1)`` of every node inside ``[0, extent)``.
 
     Siblings lie side by side by descending total, then name. Intervals come
-    from exact integer running totals, divided once by the grand total.
+    from exact integer running totals, divided once by the grand total. Runs jobs
+    when called, and reads ``groups`` several times: give it a stored table.
     """
     projects = groups.groupBy("project").agg(F.sum("totalTime").alias("total"))
     placed_projects = running_total(

@@ -1,8 +1,8 @@
 """Tidy slice rows to nested histograms, as maps or as JSON text.
 
 The rows of one entity are few: its slices have at most one row per year,
-month, weekday and hour. So rows are hashed by entity once, and every further
-level groups on more columns than that and needs no exchange of its own.
+month, weekday and hour. So rows are hashed by entity and slice once, and every
+further level groups on more columns than that and needs no exchange of its own.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def hist_json(slices: DataFrame, keys: Sequence[str]) -> DataFrame:
         .when(F.col("count").isNull(), F.col("hourCount").cast("string"))
         .otherwise(F.to_json(F.struct("count", "hourCount")))
     )
-    folded = slices.select(*keys, "histType", *LEVELS, leaf.alias("hist")).repartition(*keys)
+    folded = slices.select(*keys, "histType", *LEVELS, leaf.alias("hist")).repartition(*keys, "histType")
     outer = list(LEVELS)
     while outer:
         inner = outer.pop()

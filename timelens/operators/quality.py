@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timelens.fixed_values import SLICES, TAGS
+from timelens.operators.slices import LEVELS
 
 
 def _violations(rows: DataFrame, check: str, key: Column, detail: Column) -> DataFrame:
@@ -60,22 +61,53 @@ def stray_names(rows: DataFrame, names: Sequence[str], table: str) -> DataFrame:
     )
 
 
+def table_violations(
+    rows: DataFrame,
+    keys: Sequence[str],
+    table: str,
+    complete: bool = False,
+    known: Sequence[str] | None = None,
+) -> DataFrame:
+    """Repeated keys, missing names, missing slices and unknown keys of one table.
+
+    One pass: rows are counted per full key, and what is left per entity. The list
+    of an entity's repeated keys is bounded by the calendar.
+    """
+    full = [*keys, "histType", *LEVELS]
+    counted = rows.groupBy(*full).agg(F.count(F.lit(1)).alias("rows"))
+
+    def violation(check: str, key: Column, detail: Column) -> Column:
+        return F.struct(
+            F.lit(check).alias("check"), key.alias("key"), detail.cast("string").alias("detail")
+        )
+
+    again = violation(f"repeated key in {table}", F.concat_ws("|", *full), F.col("rows"))
+    slice_name = F.when(F.col("histType").isin(*SLICES), F.col("histType"))
+    entities = counted.groupBy(*keys).agg(
+        F.collect_list(F.when(F.col("rows") > 1, again)).alias("found"),
+        F.size(F.collect_set(slice_name)).alias("slices"),
+    )
+    checks = [
+        F.when(F.col(name).isNull(), violation(f"no {name} in {table}", F.lit(name), F.lit("null")))
+        for name in keys
+    ]
+    if complete:
+        short = violation("missing slices", F.concat_ws("|", *keys), F.col("slices"))
+        checks.append(F.when(F.col("slices") < len(SLICES), short))
+    if known is not None:
+        stranger = violation("unknown tag", F.col(keys[0]), F.lit(""))
+        checks.append(F.when(~F.col(keys[0]).isin(*known), stranger))
+    found = F.concat(F.col("found"), F.array_compact(F.array(*checks)))
+    return entities.select(F.inline(found)).distinct()
+
+
 def rollup_violations(
     projects: DataFrame, groups: DataFrame, tags: DataFrame, tag_names: Sequence[str] = TAGS
 ) -> DataFrame:
     """All shape checks over the three slice tables; a sound rollup gives no rows."""
-    levels = ["histType", "year", "month", "day", "hour"]
-    checks = [
-        unknown_tags(tags, tag_names),
-        missing_slices(tags, ["tag"]),
-        stray_names(projects, ["description"], "projects"),
-        missing_names(projects, ["project"], "projects"),
-        missing_names(groups, ["project", "description"], "groups"),
-        repeated_keys(projects, ["project", *levels], "projects"),
-        repeated_keys(groups, ["project", "description", *levels], "groups"),
-        repeated_keys(tags, ["tag", *levels], "tags"),
-    ]
-    found = checks[0]
-    for check in checks[1:]:
-        found = found.unionByName(check)
-    return found
+    return (
+        table_violations(projects, ["project"], "projects")
+        .unionByName(table_violations(groups, ["project", "description"], "groups"))
+        .unionByName(table_violations(tags, ["tag"], "tags", complete=True, known=tag_names))
+        .unionByName(stray_names(projects, ["description"], "projects"))
+    )

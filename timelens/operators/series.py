@@ -7,18 +7,26 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timelens.fixed_values import CHART_SLICES, DAYS, HOURS, MONTHS, SLICES, TAGS, YEARS
+from timelens.fixed_values import CHART_SLICES, DAYS, HOURS, MONTHS, SLICES, TAGS
 from timelens.operators.slices import measure_names
 
-DOMAINS = {"hour": HOURS, "day": DAYS, "month": MONTHS, "year": YEARS}
+DOMAINS = {"hour": HOURS, "day": DAYS, "month": MONTHS}
 
 
-def axis_keys(slice_type: str, years: Sequence[str] = YEARS) -> tuple[str, ...]:
-    """All bucket keys on the axis of a slice."""
+def axis_keys(slice_type: str, years: Sequence[str] = ()) -> tuple[str, ...]:
+    """All bucket keys on the axis of a slice; only a year axis needs the years."""
     inner = SLICES[slice_type][-1]
     return tuple(years) if inner == "year" else DOMAINS[inner]
 
 
+def years_of(leaves: DataFrame) -> tuple[str, ...]:
+    """The years on the axis of a year slice: all that have data, in order.
+
+    Runs a job; the years are as many as the calendar has.
+    """
+    return tuple(r.bucket for r in leaves.select("bucket").distinct().orderBy("bucket").collect())
+
+
 def check_options(
     slice_type: str, year: str | None, month: str | None, count_type: str = "hourCount"
 ) -> dict[str, str]:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from timelens.functions.rules import Rules
 from timelens.operators.document import by_entity, by_tag, by_time, labelled_times, totals_sections
 from timelens.operators.entries import entries_from_export
 from timelens.operators.nesting import hist_json
@@ -16,11 +17,19 @@ from timelens.sources.csv_entries import scan_csv
 from timelens.sources.tables import check_written, read_table, write_documents, write_table
 
 
+#: The rollup table of projects, groups and tags; its slices are in ``slices_<name>``.
+ROLLUP_TABLES = {"project": "totalsProject", "group": "totalsGrouped", "tag": "totalsTyped"}
+
+
 def process_exports(
-    spark: SparkSession, paths: str | Sequence[str], out: str, multiline: bool = False
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    out: str,
+    multiline: bool = False,
+    rules: Rules = Rules(),
 ) -> int:
-    """CSV exports to the entry table. One narrow stage."""
-    entries = entries_from_export(scan_csv(spark, paths, multiline))
+    """CSV exports to the entry table, cleaned and tagged by ``rules``. One narrow stage."""
+    entries = entries_from_export(scan_csv(spark, paths, multiline), rules)
     written = write_table(entries, out)
     check_written(spark, out, written)
     return written

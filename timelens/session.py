@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -21,20 +20,23 @@ def has_fixed_offset(zone: str) -> bool:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables, shared by all executors.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where it is unset only a
-    local session gets a temporary folder; on a cluster that is an error.
+    The cluster names it in ``spark.checkpoint.dir``, or the caller has set it with
+    ``SparkContext.setCheckpointDir``; without either this is an error.
     """
     sc = spark.sparkContext
-    configured = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not configured:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        configured = tempfile.mkdtemp(prefix="timelens-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(configured)
     return configured
 
 
 def new_work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, so reruns never meet old files."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, removed when the session's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(jvm_path)
+    files.deleteOnExit(jvm_path)
+    return path

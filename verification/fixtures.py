@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timelens.operators.entries import clean_entries, tag_entries
-from timelens.sources.tables import read_table, spread
+from timelens.sources.tables import read_table
 
 PROJECTS = (
     "CS 461 Capstone",
@@ -43,7 +43,11 @@ YEARS = tuple(str(y) for y in range(1995, 2002))
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spread(read_table(spark, f"{sf_dir}/{name}.parquet"))
+    sc = spark.sparkContext
+    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        # A session for tests without a shared folder: the warehouse is one.
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

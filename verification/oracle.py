@@ -17,12 +17,13 @@ from timelens.fixed_values import (
     TAGS,
     WEEKDAY_NAMES,
 )
-from verification.fixtures import DESCRIPTIONS, PROJECTS, YEARS
+from verification.fixtures import DESCRIPTIONS, PROJECTS
 from verification.registry import (
     EVENT_SLICES,
     GROUP_MONTH,
     GROUP_YEAR,
     NESTED_SLICES,
+    OWN_RULES,
     PAGES,
     TAG_MONTH,
     TAG_YEAR,
@@ -30,7 +31,7 @@ from verification.registry import (
 
 KEYS = {"project": ["project"], "group": ["project", "description"], "tag": ["tag"]}
 LEVEL_FORMAT = {"year": "%Y", "month": "%m", "day": "%w", "hour": "%H"}
-AXES = {"hour": HOURS, "day": DAYS, "month": MONTHS, "year": YEARS}
+AXES = {"hour": HOURS, "day": DAYS, "month": MONTHS}
 
 
 def _text(value: str) -> str:
@@ -304,13 +305,16 @@ def _dense(kind: str, slice_type: str, year: str, month: str, count_type: str =
         value = "hourCount"
     else:
         value = "totalTime" if slice_type == "yearSum" else count_type
-    axis = ", ".join(f"('{key}')" for key in AXES[inner])
+    # The years are those of the data.
+    axis = "SELECT DISTINCT bucket FROM leaves"
+    if inner in AXES:
+        axis = "VALUES " + ", ".join(f"('{key}')" for key in AXES[inner])
     return f"""
 leaves AS (
   SELECT {keys}, "{inner}" AS bucket, "{value}" AS value
   FROM ({_slice(kind, slice_type)}){_options(slice_type, year, month)}
 ),
-axis(bucket) AS (VALUES {axis}),
+axis(bucket) AS ({axis}),
 series AS (SELECT DISTINCT {keys} FROM leaves JOIN axis USING (bucket) WHERE value <> 0),
 dense AS (
   SELECT {keys}, bucket, coalesce(value, 0) AS value
@@ -356,7 +360,7 @@ def _duration(value: str) -> str:
     return f"nullif(concat_ws(' ', {_unit(days, 'day')}, {_unit(hours, 'hour')}), '')"
 
 
-def _page(kind: str, slice_type: str) -> str:
+def _page(kind: str, slice_type: str, source: str | None = None) -> str:
     year, month = (GROUP_YEAR, GROUP_MONTH) if kind == "group" else (TAG_YEAR, TAG_MONTH)
     keys = ", ".join(KEYS[kind])
     name = "project || ' - ' || description" if kind == "group" else "tag"
@@ -370,6 +374,7 @@ def _page(kind: str, slice_type: str) -> str:
         f"value, {shown} AS value_label FROM bars",
         _dense(kind, slice_type, year, month),
         _kept(kind),
+        source=source or ENTRIES,
     )
 
 
@@ -420,6 +425,13 @@ def _time_label(compat: bool) -> str:
   ELSE "timeValue" END"""
 
 
+def _names(*known: str) -> str:
+    """Project and description as columns, null where a section has none."""
+    return ", ".join(
+        name if name in known else f"CAST(NULL AS VARCHAR) AS {name}" for name in ("project", "description")
+    )
+
+
 def _document_times(section: str) -> str:
     source, order = "times", '"timeValue"'
     if section == "byTime.top":
@@ -429,7 +441,7 @@ def _document_times(section: str) -> str:
         "'\",\"originalTime\":\"' || \"timeValue\" || '\"}'"
     )
     return (
-        f"SELECT '{section}' AS section, \"timeType\" AS entity, "
+        f"SELECT '{section}' AS section, \"timeType\" AS entity, {_names()}, "
         f"'[' || string_agg({item}, ',' ORDER BY {order}) || ']' AS json "
         f"FROM (SELECT *, {_time_label(False)} AS label FROM {source}) GROUP BY \"timeType\""
     )
@@ -445,7 +457,7 @@ def _members(kind: str) -> str:
 
 def _document_tags() -> str:
     return (
-        "SELECT 'byType.all' AS section, tag AS entity, '{' || members || '}' AS json "
+        f"SELECT 'byType.all' AS section, tag AS entity, {_names()}, '{{' || members || '}}' AS json "
         f"FROM ({_members('tag')})"
     )
 
@@ -456,17 +468,21 @@ def _document_entities(kind: str, section: str) -> str:
     entity = " || '|' || ".join(keys)
     using = ", ".join(keys)
     return (
-        f"SELECT '{section}' AS section, {entity} AS entity, "
+        f"SELECT '{section}' AS section, {entity} AS entity, {_names(*keys)}, "
         f"'{{' || {named} || ',\"type\":' || to_json(types) || ',' || members || '}}' AS json "
         f"FROM ({_members(kind)}) JOIN ({_types(kind, joined=False)}) USING ({using})"
     )
 
 
 DOCUMENT_TOTALS = f"""
-SELECT CASE "sliceType" WHEN 'project' THEN 'byProject.totals'
-    WHEN 'project.description' THEN 'byGroup.totals' ELSE 'byType.totals' END AS section,
-  "sliceKey" AS entity, CAST("totalTime" AS VARCHAR) AS json
-FROM ({TOTALS})"""
+SELECT 'byProject.totals' AS section, project AS entity, {_names("project")},
+  CAST(CAST(sum(duration) AS BIGINT) AS VARCHAR) AS json FROM entries GROUP BY project
+UNION ALL
+SELECT 'byGroup.totals', project || '|' || description, project, description,
+  CAST(CAST(sum(duration) AS BIGINT) AS VARCHAR) FROM entries GROUP BY project, description
+UNION ALL
+SELECT 'byType.totals', tag, {_names()}, CAST(CAST(sum(duration) AS BIGINT) AS VARCHAR)
+FROM (SELECT unnest(types) AS tag, duration FROM entries) GROUP BY tag"""
 
 HEATMAP = """
 calendar AS (
@@ -555,24 +571,63 @@ ENTRY_TABLE = (
 HOUR_ROWS = "SELECT entry_id, CAST(k AS BIGINT) AS k, startdate FROM houred"
 
 
-def _violations(source: str) -> str:
-    """Tags outside the list, and tags of fewer than 16 slices; keys are checked as well."""
+LEVEL_COLUMNS = '"histType", "year", "month", "day", "hour"'
+
+
+def _violations(source: str, seeded: bool = False) -> str:
+    """All checks over the three slice tables, with a fault for each if ``seeded``."""
     known = ", ".join(_text(tag) for tag in TAGS)
+    rows = {kind: f"SELECT {', '.join(KEYS[kind])}, {LEVEL_COLUMNS} FROM ({_all_slices(kind)})" for kind in KEYS}
+    stray = ""
+    if seeded:
+        project, year_sum = rows["project"], "\"histType\" = 'yearSum'"
+        rows["project"] = f"{project} UNION ALL SELECT * FROM ({project}) WHERE project = 'Class' AND {year_sum}"
+        rows["group"] = f"SELECT * REPLACE (CASE WHEN project <> 'Scuba' THEN description END AS description) FROM ({rows['group']})"
+        rows["tag"] = (
+            "SELECT * REPLACE (CASE WHEN tag = 'Fun' THEN 'Leisure' ELSE tag END AS tag) "
+            f"FROM ({rows['tag']}) WHERE NOT (tag = 'Dogs' AND {year_sum})"
+        )
+        stray = "UNION ALL SELECT 'stray column in projects', 'description', ''"
+
+    def keyed(kind: str, table: str) -> str:
+        keys = ", ".join(KEYS[kind])
+        lost = " ".join(
+            f"UNION ALL SELECT DISTINCT 'no {name} in {table}', '{name}', 'null' FROM {kind}_rows WHERE {name} IS NULL"
+            for name in KEYS[kind]
+        )
+        return f"""
+SELECT 'repeated key in {table}' AS "check", concat_ws('|', {keys}, {LEVEL_COLUMNS}) AS "key",
+  CAST(count(*) AS VARCHAR) AS detail
+FROM {kind}_rows GROUP BY {keys}, {LEVEL_COLUMNS} HAVING count(*) > 1 {lost}"""
+
     return _hours(
         f"""
-SELECT 'unknown tag' AS "check", tag AS "key", '' AS detail
-FROM (SELECT DISTINCT tag FROM slices) WHERE tag NOT IN ({known})
+{keyed("project", "projects")} UNION ALL {keyed("group", "groups")} UNION ALL {keyed("tag", "tags")}
 UNION ALL
-SELECT 'missing slices', tag, CAST(count(DISTINCT "histType") AS VARCHAR)
-FROM slices GROUP BY tag HAVING count(DISTINCT "histType") < 16
+SELECT 'unknown tag', tag, '' FROM (SELECT DISTINCT tag FROM tag_rows) WHERE tag NOT IN ({known})
 UNION ALL
-SELECT 'repeated key in tags', tag, CAST(count(*) AS VARCHAR)
-FROM slices GROUP BY tag, "histType", "year", "month", "day", "hour" HAVING count(*) > 1""",
-        f"slices AS ({_all_slices('tag')})",
+SELECT 'missing slices', tag, CAST(count(DISTINCT "histType") AS VARCHAR)
+FROM tag_rows GROUP BY tag HAVING count(DISTINCT "histType") < 16 {stray}""",
+        *[f"{kind}_rows AS ({sql})" for kind, sql in rows.items()],
         source=source,
     )
 
 
+def _own_rules() -> str:
+    tests = [
+        f"CASE WHEN regexp_matches({column}, {_text('(?i)' + pattern)}) THEN {_text(tag)} END"
+        for column, found in (("project", OWN_RULES.project_tags), ("description", OWN_RULES.description_tags))
+        for tag, pattern in found
+    ]
+    return f"""
+SELECT doc_id, CASE WHEN len(tags) = 0 THEN {_text(OWN_RULES.no_tag)} ELSE array_to_string(tags, ',') END AS tags,
+  CAST(0 AS INT) AS billable, CAST(5400 AS BIGINT) AS duration
+FROM (
+  SELECT doc_id, list_filter([{", ".join(tests)}], lambda t: t IS NOT NULL) AS tags
+  FROM (SELECT doc_id, source AS project, regexp_replace(text, '\\s+', ' ', 'g') AS description FROM documents)
+)"""
+
+
 ROW_COUNTS = f"""
 SELECT 'raw' AS "table", CAST(count(*) AS BIGINT) AS "rows" FROM entries
 UNION ALL SELECT 'houred', CAST(count(*) AS BIGINT) FROM houred
@@ -583,7 +638,7 @@ UNION ALL SELECT 'totalsTime', CAST(count(*) AS BIGINT) FROM times"""
 def oracle_sql() -> dict[str, str]:
     document = " UNION ALL ".join(
         (
-            f"SELECT section, entity, json FROM ({part})"
+            f"SELECT section, entity, project, description, json FROM ({part})"
             for part in (
                 _document_times("byTime.top"),
                 _document_times("byTime.all"),
@@ -605,6 +660,7 @@ def oracle_sql() -> dict[str, str]:
             RULES,
             _tagging("documents", "source", "text"),
         ),
+        "tag_documents_own_rules": _own_rules(),
         "text_forms": _with(
             "SELECT entry_id, CAST(to_json(types) AS VARCHAR) AS tags_json, "
             "CAST(len(types) AS BIGINT) AS tag_count, "
@@ -681,9 +737,12 @@ def oracle_sql() -> dict[str, str]:
         "document_totals": _with(DOCUMENT_TOTALS, ENTRIES),
         "quality_violations": _violations(ENTRIES),
         "quality_violations_events": _violations(EVENTS),
+        "quality_violations_seeded": _violations(ENTRIES, seeded=True),
         "row_counts": _hours(ROW_COUNTS, TIMES),
         "written_counts": "SELECT CAST(count(*) AS BIGINT) AS written, "
         "CAST(count(*) AS BIGINT) AS found FROM orders",
+        "page_live_g3_group": _page("group", "dayMonthYearCount"),
+        "page_live_tag_events": _page("tag", "dayCount", EVENTS),
         "page_g8_heatmap": _hours(
             f"SELECT date, week_start, dow, hours, bin, {HOURS_LABEL} AS label FROM binned",
             TIMES,
@@ -705,17 +764,24 @@ def oracle_sql() -> dict[str, str]:
     for slice_type in EVENT_SLICES:
         sql[f"events_hist_group_{slice_type}"] = _hours(_slice("group", slice_type), source=EVENTS)
     for slice_type in CHART_SLICES:
-        sql[f"series_project_{slice_type}"] = _series(slice_type)
+        for kind in KEYS:
+            sql[f"series_{kind}_{slice_type}"] = _series(slice_type, kind=kind)
     sql["series_project_dayCount_dates"] = _series("dayCount", "count")
+    sql["series_project_hourCount_converted"] = _series("hourCount", value="value * 60 + 1")
     for page, slice_type in PAGES.items():
         for kind in ("group", "tag"):
             sql[f"page_{page}_{kind}"] = _page(kind, slice_type)
     return sql
 
 
-def _series(slice_type: str, count_type: str = "hourCount") -> str:
+def _series(
+    slice_type: str, count_type: str = "hourCount", kind: str = "project", value: str = "value"
+) -> str:
     label = _axis_label(SLICES[slice_type][-1])
+    keys = ", ".join(KEYS[kind])
+    if kind == "tag":
+        keys += f", CAST(list_position({_list(TAGS)}, tag) AS BIGINT) AS tag_order"
     return _hours(
-        f"SELECT project, bucket, {label} AS label, value FROM dense",
-        _dense("project", slice_type, GROUP_YEAR, GROUP_MONTH, count_type),
+        f"SELECT {keys}, bucket, {label} AS label, {value} AS value FROM dense",
+        _dense(kind, slice_type, GROUP_YEAR, GROUP_MONTH, count_type),
     )

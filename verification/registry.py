@@ -30,23 +30,31 @@ from timelens.operators.hierarchy import hierarchy_sum
 from timelens.operators.nesting import hist_json, nested_maps
 from timelens.operators.quality import rollup_violations
 from timelens.operators.ranking import best_recent_year, order_output, top_per_time_type
-from timelens.operators.series import axis_keys, largest_value, series_rows, winner_rows, winner_series
+from timelens.operators.series import largest_value, series_rows, winner_rows, winner_series
 from timelens.operators.slices import all_slices, hour_cells, rollup_base, slice_rows, tag_cells
 from timelens.operators.totals import (
     attach_tags,
     distinct_tags,
     group_totals,
-    row_counts,
     split_key,
     time_totals,
     totals,
 )
-from timelens.plans.jobs import build_document, build_rollups, process_exports
-from timelens.plans.pages import KEYS, chart_series, heatmap_page, histogram_page, sunburst_page
+from timelens.functions.rules import Rules
+from timelens.plans.jobs import ROLLUP_TABLES, build_document, build_rollups, process_exports
+from timelens.plans.pages import (
+    KEYS,
+    chart_series,
+    heatmap_page,
+    histogram_page,
+    live_histogram_page,
+    stored_slice,
+    sunburst_page,
+)
 from timelens.session import new_work_dir
 from timelens.sources.csv_entries import scan_csv, write_csv
 from timelens.sources.tables import check_written, read_documents, read_table, write_table
-from verification.fixtures import YEARS, document_texts, event_entries, order_entries, order_rows
+from verification.fixtures import document_texts, event_entries, order_entries, order_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +65,33 @@ TAG_YEAR, TAG_MONTH = "1997", "04"
 ENTRY_OUTPUT = ("entry_id", "project", "description", "billable", "start", "end", "duration")
 
 
+# A second rule set, for the invented words of the documents table.
+OWN_RULES = Rules(
+    default_project="none",
+    fixes=(("src1", "", "empty"),),
+    project_tags=(("Odd", r"src\d*[13579]$"), ("First", "src1|src2")),
+    description_tags=(("Article", r"^the "), ("Digits", "[0-9]{4}"), ("Licence", "license|cc by")),
+    no_tag="PLAIN",
+)
+
+_ROLLUPS: dict[tuple[str, str], str] = {}
+
+
+def rollups_of(spark: SparkSession, sf_dir: str) -> str:
+    """The stored rollups of the order entries, written once for a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROLLUPS:
+        out = new_work_dir_for(spark, sf_dir, "rollups")
+        build_rollups(spark, order_entries(spark, sf_dir), out)
+        _ROLLUPS[key] = out
+    return _ROLLUPS[key]
+
+
+def new_work_dir_for(spark: SparkSession, sf_dir: str, name: str) -> str:
+    order_entries(spark, sf_dir)  # reading a table sets the folder up where it is unset
+    return new_work_dir(spark, name)
+
+
 def _naive(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
@@ -77,6 +112,25 @@ def tag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag_entries(document_texts(spark, sf_dir)).select("doc_id", _joined("type").alias("tags"))
 
 
+def tag_documents_own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Another rule set through the ingest functions: exports of documents to tagged entries."""
+    texts = document_texts(spark, sf_dir)
+    flat = F.regexp_replace("description", r"\s+", " ")
+    exports = texts.select(
+        F.col("doc_id").alias("entry_id"),
+        "project",
+        flat.alias("description"),
+        F.lit("No").alias("billable"),
+        *[F.lit(d).alias(c) for c in ("start_date", "end_date") for d in ("2024-01-01",)],
+        F.lit("08:00:00").alias("start_time"),
+        F.lit("09:30:00").alias("end_time"),
+    )
+    entries = entries_from_export(exports, OWN_RULES)
+    return entries.select(
+        F.col("entry_id").alias("doc_id"), _joined("type").alias("tags"), "billable", "duration"
+    )
+
+
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags and instants in their text forms, tags read back once."""
     rows = order_entries(spark, sf_dir).withColumn("tags_json", encode_tags(F.col("type")))
@@ -114,7 +168,7 @@ def _export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly CSV exports written and read back through the whole ingest."""
-    out = new_work_dir(spark, "exports")
+    out = new_work_dir_for(spark, sf_dir, "exports")
     write_csv(_export_rows(spark, sf_dir), out, "export_year")
     entries = entries_from_export(scan_csv(spark, f"{out}/export_year=*"))
     return _naive(
@@ -124,7 +178,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first job end to end: exports to the checked entry table."""
-    exports, out = new_work_dir(spark, "exports"), new_work_dir(spark, "raw")
+    exports, out = new_work_dir_for(spark, sf_dir, "exports"), new_work_dir(spark, "raw")
     write_csv(_export_rows(spark, sf_dir).drop("export_year"), exports)
     process_exports(spark, exports, out)
     entries = read_table(spark, out)
@@ -199,13 +253,19 @@ def all_slices_query(kind: str) -> Query:
     return query
 
 
+def _stored(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return read_table(spark, f"{rollups_of(spark, sf_dir)}/{table}")
+
+
 def hist_json_query(kind: str) -> Query:
+    """Histograms nested from the stored slices, with the stored tag lists."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        entries = order_entries(spark, sf_dir)
-        hists = hist_json(all_slices(base_cells(spark, sf_dir, kind), KEYS[kind]), KEYS[kind])
+        name = ROLLUP_TABLES[kind]
+        hists = hist_json(_stored(spark, sf_dir, f"slices_{name}"), KEYS[kind])
         if kind == "tag":
             return hists
-        types = distinct_tags(entries, KEYS[kind]).withColumn("types", _joined("types"))
+        types = _stored(spark, sf_dir, f"types_{name}").withColumn("types", _joined("types"))
         return attach_tags(hists, types, KEYS[kind])
 
     return query
@@ -222,7 +282,7 @@ def nested_maps_query(slice_type: str) -> Query:
 
 def rollup_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second job end to end: all rollup tables written, one read back."""
-    out = new_work_dir(spark, "rollups")
+    out = new_work_dir_for(spark, sf_dir, "rollups")
     build_rollups(spark, order_entries(spark, sf_dir), out)
     rows = read_table(spark, f"{out}/totalsGrouped").withColumn("types", _joined("types"))
     return rows.select("project", "description", "types", "histType", "hist")
@@ -230,8 +290,7 @@ def rollup_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third job end to end: rollups to the document, read back from its files."""
-    rollups, out = new_work_dir(spark, "rollups"), new_work_dir(spark, "document")
-    build_rollups(spark, order_entries(spark, sf_dir), rollups)
+    rollups, out = rollups_of(spark, sf_dir), new_work_dir(spark, "document")
     build_document(spark, rollups, out)
     return read_documents(spark, out)
 
@@ -258,37 +317,43 @@ def _chart_options(slice_type: str) -> dict[str, str]:
     return {level: given[level] for level in SLICES[slice_type][:-1]}
 
 
-def series_query(kind: str, slice_type: str, count_type: str = "hourCount") -> Query:
+def series_query(kind: str, slice_type: str, **options) -> Query:
+    """Filled series from the stored slices; tags with their place in the list."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        series = chart_series(
-            order_entries(spark, sf_dir),
+        series, axis = chart_series(
+            stored_slice(spark, rollups_of(spark, sf_dir), kind, slice_type),
             kind,
             slice_type,
-            count_type=count_type,
-            years=YEARS,
+            tags=TAGS,
             **_chart_options(slice_type),
+            **options,
         )
-        axis = axis_keys(slice_type, YEARS)
+        keys = [*KEYS[kind], *(["tag_order"] if kind == "tag" else [])]
         label = axis_label(SLICES[slice_type][-1], F.col("bucket")).alias("label")
-        return series_rows(series, KEYS[kind], axis).select(*KEYS[kind], "bucket", label, "value")
+        return series_rows(series, keys, axis).select(*keys, "bucket", label, "value")
 
     return query
 
 
+def _project_hours(spark: SparkSession, sf_dir: str):
+    rows = stored_slice(spark, rollups_of(spark, sf_dir), "project", "hourCount")
+    return chart_series(rows, "project", "hourCount")
+
+
 def winner_per_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = chart_series(order_entries(spark, sf_dir), "project", "hourCount")
-    return winner_rows(series, ["project"], axis_keys("hourCount"))
+    series, axis = _project_hours(spark, sf_dir)
+    return winner_rows(series, ["project"], axis)
 
 
 def winner_series_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    axis = axis_keys("hourCount")
-    series = chart_series(order_entries(spark, sf_dir), "project", "hourCount")
+    series, axis = _project_hours(spark, sf_dir)
     return series_rows(winner_series(series, axis), ["project"], axis)
 
 
 def max_over_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = chart_series(order_entries(spark, sf_dir), "group", "dayCount")
-    return largest_value(series)
+    rows = stored_slice(spark, rollups_of(spark, sf_dir), "group", "dayCount")
+    return largest_value(chart_series(rows, "group", "dayCount")[0])
 
 
 def _heatmap_1999(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +385,7 @@ def hierarchy_sum_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def share_extents_query(extent: float) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        nodes = sunburst_page(order_entries(spark, sf_dir), extent)
+        nodes = sunburst_page(spark, rollups_of(spark, sf_dir), extent)
         return nodes.withColumns({"x0": F.round("x0", 9), "x1": F.round("x1", 9)})
 
     return query
@@ -357,15 +422,12 @@ def document_by_time(section: str) -> Query:
 
 
 def document_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_tag(hist_json(all_slices(base_cells(spark, sf_dir, "tag"), ["tag"]), ["tag"]))
+    return by_tag(_stored(spark, sf_dir, ROLLUP_TABLES["tag"]))
 
 
 def document_by_entity(kind: str, section: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        keys = KEYS[kind]
-        hists = hist_json(all_slices(base_cells(spark, sf_dir, kind), keys), keys)
-        types = distinct_tags(order_entries(spark, sf_dir), keys)
-        return by_entity(attach_tags(hists, types, keys), keys, section)
+        return by_entity(_stored(spark, sf_dir, ROLLUP_TABLES[kind]), KEYS[kind], section)
 
     return query
 
@@ -375,7 +437,7 @@ def document_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _violations(spark: SparkSession, entries: DataFrame) -> DataFrame:
-    """Checks over written slice tables; each check reads them, none builds them again."""
+    """Checks over written slice tables; each is read once."""
     out = new_work_dir(spark, "slices")
     write_table(rollup_base(entries), f"{out}/base")
     base = read_table(spark, f"{out}/base")
@@ -388,7 +450,9 @@ def _violations(spark: SparkSession, entries: DataFrame) -> DataFrame:
 
 
 def quality_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _violations(spark, order_entries(spark, sf_dir))
+    return rollup_violations(
+        *[_stored(spark, sf_dir, f"slices_{ROLLUP_TABLES[k]}") for k in ("project", "group", "tag")]
+    )
 
 
 def quality_violations_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,21 +460,36 @@ def quality_violations_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _violations(spark, event_entries(spark, sf_dir))
 
 
-def row_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = order_entries(spark, sf_dir)
-    return row_counts(
-        {
-            "raw": entries,
-            "houred": hour_fanout(entries),
-            "totals": totals(entries),
-            "totalsTime": time_totals(hour_cells(entries, [])),
-        }
+def quality_violations_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored slices with a fault for every check: repeated rows, a lost name, a lost
+    slice, a tag outside the list and a column too many."""
+    projects, groups, tags = [
+        _stored(spark, sf_dir, f"slices_{ROLLUP_TABLES[k]}") for k in ("project", "group", "tag")
+    ]
+    year_sum = F.col("histType") == "yearSum"
+    again = projects.filter((F.col("project") == "Class") & year_sum)
+    lost = F.when(F.col("project") != "Scuba", F.col("description"))
+    renamed = F.when(F.col("tag") == "Fun", "Leisure").otherwise(F.col("tag"))
+    return rollup_violations(
+        projects.unionByName(again).withColumn("description", F.lit("stray")),
+        groups.withColumn("description", lost),
+        tags.filter(~((F.col("tag") == "Dogs") & year_sum)).withColumn("tag", renamed),
     )
 
 
+def row_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the tables: entries and their hours are sums over the base cells."""
+    base = _stored(spark, sf_dir, "base").agg(F.sum("starts").alias("raw"), F.sum("n").alias("houred"))
+    counted = base.select(F.expr("stack(2, 'raw', raw, 'houred', houred) AS (table, rows)"))
+    for table in ("totals", "totalsTime"):
+        rows = _stored(spark, sf_dir, table).agg(F.count(F.lit(1)).alias("rows"))
+        counted = counted.unionByName(rows.select(F.lit(table).alias("table"), "rows"))
+    return counted
+
+
 def written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows observed while writing against rows found in the table."""
-    out = new_work_dir(spark, "raw")
+    out = new_work_dir_for(spark, sf_dir, "raw")
     written = write_table(order_entries(spark, sf_dir), out)
     check_written(spark, out, written)
     found = read_table(spark, out).agg(F.count(F.lit(1)).alias("found"))
@@ -425,13 +504,25 @@ def page_query(kind: str, slice_type: str) -> Query:
     options = {level: narrowed[level] for level in SLICES[slice_type][:-1]}
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return histogram_page(order_entries(spark, sf_dir), kind, slice_type, years=YEARS, **options)
+        return histogram_page(spark, rollups_of(spark, sf_dir), kind, slice_type, **options)
 
     return query
 
 
+def live_page_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page without rollups: only the entries that touch the month are fanned out."""
+    return live_histogram_page(
+        order_entries(spark, sf_dir), "group", "dayMonthYearCount", GROUP_YEAR, GROUP_MONTH
+    )
+
+
+def events_tag_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tag page over tags of no known list."""
+    return live_histogram_page(event_entries(spark, sf_dir), "tag", "dayCount")
+
+
 def page_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heatmap_page(order_entries(spark, sf_dir))
+    return heatmap_page(spark, rollups_of(spark, sf_dir))
 
 
 # Pages by number and slice; every one exists by group and by tag.
@@ -454,6 +545,7 @@ def queries() -> dict[str, Query]:
         "clean_entries": clean_entries_query,
         "tag_entries": tag_entries_query,
         "tag_documents": tag_documents,
+        "tag_documents_own_rules": tag_documents_own_rules,
         "text_forms": text_forms,
         "csv_roundtrip": csv_roundtrip,
         "entry_table": entry_table,
@@ -490,8 +582,11 @@ def queries() -> dict[str, Query]:
         "document_totals": document_totals,
         "quality_violations": quality_violations,
         "quality_violations_events": quality_violations_events,
+        "quality_violations_seeded": quality_violations_seeded,
         "row_counts": row_counts_query,
         "written_counts": written_counts,
+        "page_live_g3_group": live_page_query,
+        "page_live_tag_events": events_tag_page,
         "page_g8_heatmap": page_heatmap,
         "page_g9_sunburst": share_extents_query(2 * math.pi),
     }
@@ -505,8 +600,12 @@ def queries() -> dict[str, Query]:
     for slice_type in EVENT_SLICES:
         found[f"events_hist_group_{slice_type}"] = slice_query("group", slice_type, event_entries)
     for slice_type in CHART_SLICES:
-        found[f"series_project_{slice_type}"] = series_query("project", slice_type)
-    found["series_project_dayCount_dates"] = series_query("project", "dayCount", "count")
+        for kind in KEYS:
+            found[f"series_{kind}_{slice_type}"] = series_query(kind, slice_type)
+    found["series_project_dayCount_dates"] = series_query("project", "dayCount", count_type="count")
+    found["series_project_hourCount_converted"] = series_query(
+        "project", "hourCount", convert=lambda hours: hours * 60 + 1
+    )
     for page, slice_type in PAGES.items():
         for kind in ("group", "tag"):
             found[f"page_{page}_{kind}"] = page_query(kind, slice_type)
