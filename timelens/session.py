@@ -33,10 +33,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def new_work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the session's JVM ends."""
+    """A fresh path below the shared folder, removed when the session's JVM ends.
+
+    Nothing is at the path yet; the folder around it is what is removed.
+    """
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(jvm_path)
     files.deleteOnExit(jvm_path)
-    return path
+    return f"{path}/{name}"
