@@ -5,8 +5,9 @@ product with its own transpose has the overlaps. Only entries that can reach the
 threshold are worked out. Columns are ordered: frequent ones last, else by hash. In
 that order two linked documents share a column among their first quarter, and at the
 first one that they share the rest of each must still hold the overlap that their
-sizes ask for. The product runs over blocks of one column and one band of sizes;
-what survives the bounds gets its overlap counted over the whole sets.
+sizes ask for. The product runs over blocks of one column and one band of sizes. For
+what is left, overlaps are bounded by accumulating the smaller of two rows' counts over
+``BLOCKS`` blocks of columns, and what survives that as well is counted column by column.
 
 Equal sets are one row of the matrix. In columns of more than ``SMALL`` rows, the row
 that comes first in its own order is paired with all others; what these links
@@ -44,6 +45,8 @@ CHUNK, LEAST_IN_CHUNK = 4_000_000, 4
 #: Columns known to be in more than this share of the sets come last in the order;
 #: they are at most ``MOST_FREQUENT``, the largest table that is sent to all tasks.
 FREQUENT_SHARE, MOST_FREQUENT = 1e-3, 1 << 17
+#: Blocks of columns whose counts bound an overlap.
+BLOCKS = 512
 #: Members that are compared with one text at a time.
 MEMBERS = 64
 #: Sizes that can be linked are in the same band or the next.
@@ -71,6 +74,12 @@ def _identity(values: np.ndarray) -> tuple[int, int]:
     )
 
 
+def _block_counts(values: np.ndarray) -> bytes:
+    """How many columns of each block a set has; 255 stands for that many or more."""
+    counts = np.bincount((values >> np.uint64(40)) % np.uint64(BLOCKS), minlength=BLOCKS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
@@ -103,35 +112,36 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counter = _Counter()
     schema = None
 
-    def rows(ids: pa.Array, n: list, one: list, two: list) -> pa.RecordBatch:
+    def rows(ids: pa.Array, n: list, one: list, two: list, blocks: list) -> pa.RecordBatch:
         none = pa.nulls(len(n), pa.int64())
+        numbers = [pa.array(v, pa.int64()) for v in (n, one, two)]
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), none, none],
-            schema=schema,
+            [ids, *numbers, pa.array(blocks, pa.binary()), none, none], schema=schema
         )
 
     def report() -> pa.RecordBatch:
         found, times = counter.take()
         none = pa.nulls(len(found), pa.int64())
-        ids = pa.nulls(len(found), schema.field(0).type)
+        ids, blocks = pa.nulls(len(found), schema.field(0).type), pa.nulls(len(found), pa.binary())
         return pa.RecordBatch.from_arrays(
-            [ids, none, none, none, _signed(found), pa.array(times.astype(np.int64))], schema=schema
+            [ids, none, none, none, blocks, _signed(found), pa.array(times.astype(np.int64))], schema=schema
         )
 
     for batch in batches:
         if schema is None:
-            names = ["n", "fp", "again", "gram", "times"]
-            schema = pa.schema([batch.schema.field("doc_id"), *[pa.field(c, pa.int64()) for c in names]])
+            own, counts = [[pa.field(c, pa.int64()) for c in names] for names in (("n", "fp", "again"), ("gram", "times"))]
+            schema = pa.schema([batch.schema.field("doc_id"), *own, pa.field("blocks", pa.binary()), *counts])
         for piece in pieces(batch.column("text")):
-            n, one, two = [], [], []
+            n, one, two, blocks = [], [], [], []
             for values in shingle_sets(piece):
                 a, b = _identity(values)
+                blocks.append(_block_counts(values))
                 n.append(len(values))
                 one.append(a)
                 two.append(b)
                 if len(values) and counter.add(a, values):
                     yield report()
-            yield rows(batch.column("doc_id").slice(piece.lo, piece.hi - piece.lo), n, one, two)
+            yield rows(batch.column("doc_id").slice(piece.lo, piece.hi - piece.lo), n, one, two, blocks)
     if schema is not None:
         yield report()
 
@@ -241,13 +251,36 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose accumulated bound reaches the overlap that their sizes ask for."""
+    for batch in batches:
+        n = batch.num_rows
+        left, right = [
+            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, BLOCKS)
+            for c in ("blocks", "other_blocks")
+        ]
+        bound = np.minimum(left, right).sum(axis=1, dtype=np.int64)
+        needed = 3 * (batch.column("n").to_numpy() + batch.column("other_n").to_numpy())
+        unknown = ((left == 255) & (right == 255)).any(axis=1)
+        kept = batch.filter(pa.array((7 * bound >= needed) | unknown))
+        yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
+
+
+def within_bounds(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that the counts by blocks of columns do not rule out."""
+    left = classes.select(F.col("fp").alias("a"), "n", "blocks")
+    right = classes.select(F.col("fp").alias("b"), F.col("n").alias("other_n"), F.col("blocks").alias("other_blocks"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "other_n", "blocks", "other_blocks")
+    return rows.mapInArrow(_bounded, "a long, b long")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose whole sets meet the threshold.
 
     Texts of one document of each class are fetched. A text goes once to every
     ``MEMBERS`` texts that it is compared with, so no text is a large group.
     """
-    pairs = settle(pairs, "pairs")
+    pairs = settle(within_bounds(pairs, classes), "pairs")
     chosen = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     chosen = settle(chosen.join(classes, "fp").select("fp", "doc_id"), "chosen")
     texts = docs.select("doc_id", "text").alias("d").join(
@@ -288,16 +321,23 @@ def link_documents(docs: DataFrame) -> DataFrame:
     the frequent shingles, ``MOST_FREQUENT`` at most.
     """
     schema = T.StructType(
-        [docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("n", "fp", "again", "gram", "times")]]
+        [
+            docs.schema["doc_id"],
+            *[T.StructField(c, T.LongType()) for c in ("n", "fp", "again")],
+            T.StructField("blocks", T.BinaryType()),
+            *[T.StructField(c, T.LongType()) for c in ("gram", "times")],
+        ]
     )
     profile = settle(docs.select("doc_id", "text").mapInArrow(_profile, schema), "profile")
-    rows = profile.filter("gram is null").select("doc_id", "n", "fp", "again")
+    described = profile.filter("gram is null")
+    rows = described.select("doc_id", "n", "fp")
     same = (F.min("n") == F.max("n")) & (F.min("again") == F.max("again"))
     classes = settle(
-        rows.filter("n > 0")
+        described.filter("n > 0")
         .groupBy("fp")
         .agg(
             F.min("doc_id").alias("doc_id"),
+            F.first("blocks").alias("blocks"),
             F.when(same, F.min("n")).otherwise(
                 F.raise_error(F.lit("two sets have one hash")).cast("long")
             ).alias("n"),

@@ -42,6 +42,8 @@ def settle(rows: DataFrame, name: str) -> DataFrame:
     """
     path = f"{work_dir(rows.sparkSession, name)}/rows"
     rows.write.parquet(path)
+    # Spark removes the shuffle files of finished jobs when the driver collects garbage.
+    rows.sparkSession._jvm.System.gc()
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
