@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from timelens.llm.components import connected
-from timelens.llm.tables import settle
+from timelens.llm.tables import near, settle
 from timelens.llm.words import BLANK_SEPARATED, Piece, gram_hashes, mix, pieces, run_hashes, split
 
 SIZE = 5
@@ -266,24 +266,29 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
 
 
-def within_bounds(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def within_bounds(pairs: DataFrame, ends: DataFrame) -> DataFrame:
     """The pairs that the counts by blocks of columns do not rule out."""
-    left = classes.select(F.col("fp").alias("a"), "n", "blocks")
-    right = classes.select(F.col("fp").alias("b"), F.col("n").alias("other_n"), F.col("blocks").alias("other_blocks"))
+    left = ends.select(F.col("fp").alias("a"), "n", "blocks")
+    right = ends.select(F.col("fp").alias("b"), F.col("n").alias("other_n"), F.col("blocks").alias("other_blocks"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "other_n", "blocks", "other_blocks")
     return rows.mapInArrow(_bounded, "a long, b long")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+
+
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose whole sets meet the threshold.
 
     Texts of one document of each class are fetched. A text goes once to every
     ``MEMBERS`` texts that it is compared with, so no text is a large group.
     """
-    pairs = settle(within_bounds(pairs, classes), "pairs")
-    chosen = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    chosen = settle(chosen.join(classes, "fp").select("fp", "doc_id"), "chosen")
-    texts = docs.select("doc_id", "text").alias("d").join(
+    pairs = settle(pairs, "candidates")
+    ends = settle(_ends(pairs).join(classes, "fp"), "ends")
+    pairs = settle(within_bounds(pairs, ends), "pairs")
+    chosen = settle(_ends(pairs).join(ends, "fp").select("fp", "doc_id"), "chosen")
+    texts = near(docs.select("doc_id", "text"), "doc_id", chosen).alias("d").join(
         chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
     ).select("c.fp", "d.text")
     texts = settle(texts.mapInArrow(_of_class, "fp long, text string"), "texts")

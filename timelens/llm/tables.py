@@ -47,6 +47,26 @@ def settle(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+#: Slots of the filter that ``near`` sends to all tasks.
+SLOTS = 1 << 20
+
+
+def near(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key falls into the same one of ``SLOTS`` slots as a wanted key does.
+
+    Made for wide rows before an exact join with few wanted keys: most others are
+    dropped where they are read and need no shuffle. What is sent to all tasks is a
+    row for each taken slot, ``SLOTS`` at most; with many more keys than slots all
+    rows pass, and none that is wanted is ever dropped.
+    """
+    def slot(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int")
+
+    taken = F.broadcast(wanted.select(slot(key).alias("_slot")).distinct())
+    marked = rows.withColumn("_of_slot", slot(key))
+    return marked.join(taken, F.col("_of_slot") == F.col("_slot"), "left_semi").drop("_of_slot")
+
+
 def blank_words(text: Column) -> Column:
     """Words between blanks, unchanged; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANK_CHARACTERS))
