@@ -296,7 +296,8 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return time_totals(hour_cells(order_entries(spark, sf_dir), []))
+    """The stored time totals; ``time_totals`` itself is a query of its own."""
+    return _stored(spark, sf_dir, "totalsTime")
 
 
 def top_query(by: str) -> Query:
