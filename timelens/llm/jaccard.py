@@ -5,8 +5,8 @@ product with its own transpose has the overlaps. Only entries that can reach the
 threshold are worked out. Columns are ordered: frequent ones last, else by hash. In
 that order two linked documents share a column among their first quarter, and at the
 first one that they share the rest of each must still hold the overlap that their
-sizes ask for. The product runs over blocks of one column and one band of sizes. For
-what is left, overlaps are bounded by accumulating the smaller of two rows' counts over
+sizes ask for. The product runs column by column, for large columns in blocks of one
+band of sizes. For what is left, overlaps are bounded by accumulating the smaller of two rows' counts over
 ``BLOCKS`` blocks of columns, and what survives that as well is counted column by column.
 
 Equal sets are one row of the matrix. In columns of more than ``SMALL`` rows, the row
@@ -193,9 +193,8 @@ def _entries(frequent: np.ndarray):
     return run, "gram long, fp long, n int, place int, often boolean"
 
 
-def _can_link(n: str, place: str, other_n: str, other_place: str) -> Column:
-    """Sizes fit, and after the shared column both still have the overlap that is needed."""
-    a, p, b, q = F.col(n), F.col(place), F.col(other_n), F.col(other_place)
+def _can_link(a: Column, p: Column, b: Column, q: Column) -> Column:
+    """Sizes a and b fit, and after places p and q both still have the overlap that is needed."""
     needed = 3 * (a + b)
     return (
         (4 * F.least(a, b) >= 3 * F.greatest(a, b)) & (7 * (a - p) >= needed) & (7 * (b - q) >= needed)
@@ -203,9 +202,11 @@ def _can_link(n: str, place: str, other_n: str, other_place: str) -> Column:
 
 
 def shared_columns(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Entries of columns that have two different rows or more.
+    """What the columns that have two different rows or more lead to.
 
-    Each with its column's number of rows ``m`` and first row (``pivot``). The rows of
+    Small columns: a row with the later rows (by size) that it may be linked to, in
+    ``partners``; no further shuffle is needed for them. Other columns: all entries,
+    with the column's number of rows ``m`` and its first row, the ``pivot``. The rows of
     frequent columns are dealt out over several tasks and summed up afterwards.
     """
     run, schema = _entries(frequent)
@@ -213,13 +214,25 @@ def shared_columns(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     share = F.when(F.col("often"), F.pmod(F.col("fp"), F.lit(64))).otherwise(0).alias("share")
     first = F.min(F.struct("place", "n", "fp"))
     column = Window.partitionBy("gram", "share")
+    # Enough to hold the rest of a small column, and no more of a large one.
+    later = column.orderBy("n", "fp").rowsBetween(1, SMALL)
+    small = ~F.col("often") & (F.col("m") <= SMALL)
+
+    def linkable(other: Column) -> Column:
+        return _can_link(F.col("n"), F.col("place"), other["n"], other["place"]) & (other["fp"] != F.col("fp"))
+
+    partners = F.transform(F.filter("later", linkable), lambda other: other["fp"])
     counted = (
         entries.select("*", share)
         .repartition("gram", "share")
         .distinct()
         .withColumn("m", F.count(F.lit(1)).over(column))
         .withColumn("pivot", first.over(column))
+        .withColumn("later", F.collect_list(F.struct("fp", "n", "place")).over(later))
         .filter("often or m > 1")
+        .withColumn("partners", F.when(small, partners))
+        .filter("partners is null or size(partners) > 0")
+        .drop("later")
     )
     counted = settle(counted, "columns")
     frequent_columns = (
@@ -361,28 +374,31 @@ def link_documents(docs: DataFrame) -> DataFrame:
     frequent = np.sort(np.array([r.gram for r in often.collect()], np.int64).view(np.uint64))
     columns = settle(shared_columns(docs, frequent), "shared")
 
-    stars = columns.filter((F.col("m") > SMALL) & (F.col("fp") != F.col("pivot.fp"))).filter(
-        _can_link("n", "place", "pivot.n", "pivot.place")
-    )
-    stars = stars.select(F.col("pivot.fp").alias("a"), F.col("fp").alias("b")).distinct()
-    first_links = verify(stars, docs, classes)
+    small = columns.filter("partners is not null").select(F.col("fp").alias("a"), F.explode_outer("partners").alias("b"))
+    columns = columns.filter("partners is null").drop("partners")
+    reach = _can_link(F.col("n"), F.col("place"), F.col("pivot.n"), F.col("pivot.place"))
+    stars = columns.filter((F.col("fp") != F.col("pivot.fp")) & reach)
+    stars = stars.select(F.col("pivot.fp").alias("a"), F.col("fp").alias("b"))
+    first_links = verify(small.unionByName(stars).distinct(), docs, classes)
     known = connected(first_links)
 
+    # Rows of large columns that these links have not connected yet.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND))).cast("int")
     placed = (
         columns.select("gram", "fp", "n", "place")
         .join(known, F.col("fp") == F.col("node"), "left")
         .select("gram", "fp", "n", "place", F.coalesce("component", "fp").alias("part"), band.alias("band"))
     )
-    smaller = placed.filter("7 * place <= n").alias("s")
-    larger = placed.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1))).alias("l")
+    smaller = placed.filter("7 * place <= n")
+    smaller = smaller.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("s")
+    larger = placed.alias("l")
     in_order = (F.col("s.n") < F.col("l.n")) | (
         (F.col("s.n") == F.col("l.n")) & (F.col("s.fp") < F.col("l.fp"))
     )
     block = (F.col("s.gram") == F.col("l.gram")) & (F.col("s.band") == F.col("l.band"))
+    reach = _can_link(F.col("s.n"), F.col("s.place"), F.col("l.n"), F.col("l.place"))
     rest = (
-        smaller.join(larger, block & in_order & (F.col("s.part") != F.col("l.part")))
-        .filter(_can_link("s.n", "s.place", "l.n", "l.place"))
+        smaller.join(larger, block & in_order & (F.col("s.part") != F.col("l.part")) & reach)
         .select(F.col("s.fp").alias("a"), F.col("l.fp").alias("b"))
         .distinct()
     )
