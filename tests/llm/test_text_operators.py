@@ -347,6 +347,16 @@ def brute_components(rows):
     return out
 
 
+def brute_groups(rows):
+    """The places of the rows of every component."""
+    sets = [shingles(text) for _, text, *_ in rows]
+    groups = []
+    for i, a in enumerate(sets):
+        met = [g for g in groups if any(a and sets[j] and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]) for j in g)]
+        groups = [g for g in groups if g not in met] + [tuple(sum(map(list, met), [i]))]
+    return groups
+
+
 def test_jaccard_join(docs, rows, nothing, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 10)
     found = jaccard.link_documents(docs).collect()
@@ -354,6 +364,37 @@ def test_jaccard_join(docs, rows, nothing, monkeypatch):
     assert jaccard.link_documents(nothing).count() == 0
 
 
+def test_one_row_of_every_component_stays(spark, rows):
+    near, alone = rows[14][1], prose("unique", 70)
+    odd = [
+        (None, near, "en", "s1", None),
+        (None, near, "de", "s1", None),
+        (130, alone, "en", "s1", None),
+        (100, near, "fr", "s9", None),
+        (None, f"{alone} end", "en", "s1", None),
+        (None, prose("nameless", 60), "en", "s1", None),
+        (None, prose("nameless", 60), "en", "s1", None),
+        (1, "", "en", "s1", 0),
+    ]
+    given = rows + odd
+    made = spark.createDataFrame(given, DOCUMENTS).repartition(4, "lang", "doc_id").withColumn("n", F.lit("clash"))
+    found = jaccard.keep_one(made)
+    assert found.columns == made.columns
+    kept = Counter(tuple(r)[:5] for r in found.collect())
+    assert not kept - Counter(given)
+    groups = brute_groups(given)
+    for group in groups:
+        members = [given[i] for i in group]
+        stays = [row for row in members if kept[row]]
+        named = [row[0] for row in members if row[0] is not None]
+        assert {row[0] for row in stays} == {min(named) if named else None}
+        if shingles(members[0][1]):
+            assert sum(kept[row] for row in set(members)) == 1
+    assert sum(kept.values()) == len(groups)
+    assert kept[(130, alone, "en", "s1", None)] == 1
+    assert jaccard.keep_one(made.limit(0)).count() == 0
+
+
 def test_prefixes_hold_the_first_shared_column():
     for n in range(1, 200):
         assert jaccard.prefix_length(n) == n - -(-3 * n // 4) + 1

@@ -112,11 +112,12 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counter = _Counter()
     schema = None
 
-    def rows(ids: pa.Array, n: list, one: list, two: list, blocks: list) -> pa.RecordBatch:
+    def rows(own: pa.RecordBatch, n: list, one: list, two: list, blocks: list) -> pa.RecordBatch:
         none = pa.nulls(len(n), pa.int64())
         numbers = [pa.array(v, pa.int64()) for v in (n, one, two)]
         return pa.RecordBatch.from_arrays(
-            [ids, *numbers, pa.array(blocks, pa.binary()), none, none], schema=schema
+            [own.column("doc_id"), own.column("signature"), *numbers, pa.array(blocks, pa.binary()), none, none],
+            schema=schema,
         )
 
     def report() -> pa.RecordBatch:
@@ -124,12 +125,12 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = pa.nulls(len(found), pa.int64())
         ids, blocks = pa.nulls(len(found), schema.field(0).type), pa.nulls(len(found), pa.binary())
         return pa.RecordBatch.from_arrays(
-            [ids, none, none, none, blocks, _signed(found), pa.array(times.astype(np.int64))], schema=schema
+            [ids, none, none, none, none, blocks, _signed(found), pa.array(times.astype(np.int64))], schema=schema
         )
 
     for batch in batches:
         if schema is None:
-            own, counts = [[pa.field(c, pa.int64()) for c in names] for names in (("n", "fp", "again"), ("gram", "times"))]
+            own, counts = [[pa.field(c, pa.int64()) for c in names] for names in (("signature", "n", "fp", "again"), ("gram", "times"))]
             schema = pa.schema([batch.schema.field("doc_id"), *own, pa.field("blocks", pa.binary()), *counts])
         for piece in pieces(batch.column("text")):
             n, one, two, blocks = [], [], [], []
@@ -141,7 +142,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 two.append(b)
                 if len(values) and counter.add(a, values):
                     yield report()
-            yield rows(batch.column("doc_id").slice(piece.lo, piece.hi - piece.lo), n, one, two, blocks)
+            yield rows(batch.slice(piece.lo, piece.hi - piece.lo), n, one, two, blocks)
     if schema is not None:
         yield report()
 
@@ -300,7 +301,7 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = settle(pairs, "candidates")
     ends = settle(_ends(pairs).join(classes, "fp"), "ends")
     pairs = settle(within_bounds(pairs, ends), "pairs")
-    chosen = settle(_ends(pairs).join(ends, "fp").select("fp", "doc_id"), "chosen")
+    chosen = settle(_ends(pairs).join(ends, "fp").select("fp", "first.doc_id"), "chosen")
     texts = near(docs.select("doc_id", "text"), "doc_id", chosen).alias("d").join(
         chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
     ).select("c.fp", "d.text")
@@ -332,29 +333,32 @@ def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` of every document.
+def _linked(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``signature`` (a hash of the text), ``n`` shingles and ``first`` of every document.
 
-    Writes intermediate tables and runs jobs when called. What comes to the driver is
-    the frequent shingles, ``MOST_FREQUENT`` at most.
+    ``first`` has the doc_id and signature of the component's first document: the one
+    with the smallest doc_id, null being the largest, then the smallest signature. It is
+    null for documents without shingles.
     """
     schema = T.StructType(
         [
             docs.schema["doc_id"],
-            *[T.StructField(c, T.LongType()) for c in ("n", "fp", "again")],
+            *[T.StructField(c, T.LongType()) for c in ("signature", "n", "fp", "again")],
             T.StructField("blocks", T.BinaryType()),
             *[T.StructField(c, T.LongType()) for c in ("gram", "times")],
         ]
     )
-    profile = settle(docs.select("doc_id", "text").mapInArrow(_profile, schema), "profile")
+    signed = docs.select("doc_id", F.xxhash64("text").alias("signature"), "text")
+    profile = settle(signed.mapInArrow(_profile, schema), "profile")
     described = profile.filter("gram is null")
-    rows = described.select("doc_id", "n", "fp")
+    rows = described.select("doc_id", "signature", "n", "fp")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "signature")
     same = (F.min("n") == F.max("n")) & (F.min("again") == F.max("again"))
     classes = settle(
         described.filter("n > 0")
         .groupBy("fp")
         .agg(
-            F.min("doc_id").alias("doc_id"),
+            F.min(first).alias("first"),
             F.first("blocks").alias("blocks"),
             F.when(same, F.min("n")).otherwise(
                 F.raise_error(F.lit("two sets have one hash")).cast("long")
@@ -404,25 +408,56 @@ def link_documents(docs: DataFrame) -> DataFrame:
     )
     links = first_links.unionByName(verify(rest, docs, classes))
     parts = (
-        classes.select("fp", "doc_id")
+        classes.select("fp", "first")
         .join(connected(links), F.col("fp") == F.col("node"), "left")
-        .select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
+        .select("fp", "first", F.coalesce("component", "fp").alias("component"))
     )
     parts = settle(parts, "parts")
-    named = parts.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = parts.join(named, "component").select(F.col("fp").alias("of"), "component_id")
+    named = parts.groupBy("component").agg(F.min("first").alias("first"))
+    of_class = parts.drop("first").join(named, "component").select(F.col("fp").alias("of"), "first")
     return rows.join(of_class, (F.col("fp") == F.col("of")) & (F.col("n") > 0), "left").select(
+        "doc_id", "signature", "n", "first"
+    )
+
+
+def link_documents(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of every document.
+
+    Writes intermediate tables and runs jobs when called. What comes to the driver is
+    the frequent shingles, ``MOST_FREQUENT`` at most.
+    """
+    return _linked(docs).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of every component: the one with the smallest doc_id.
+    """One row of every component: one of the smallest doc_id, a null one being the largest.
 
-    Rows that repeat a kept doc_id are kept with it.
+    A document is its doc_id and text, so another text of a dropped doc_id stays. Of the
+    rows that repeat the kept document, the one with the smallest hash of all columns
+    stays. Documents without shingles are linked with nothing and stay in all their rows.
     """
-    extra = link_documents(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    extra = settle(extra, "extra").alias("e")
-    return docs.alias("d").join(extra, F.col("d.doc_id") == F.col("e.doc_id"), "left_anti")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("signature") == F.col("first.signature"))
+    judged = (
+        _linked(docs)
+        .filter("n > 0")
+        .groupBy("doc_id", F.col("signature").alias("_signature"))
+        .agg(F.bool_or(own).alias("kept"), F.count(F.lit(1)).alias("rows"))
+    )
+    others = settle(judged.filter("not kept or rows > 1").select("doc_id", "_signature", "kept"), "others")
+    same = F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d._signature") == F.col("o._signature"))
+    marked = docs.withColumn("_signature", F.xxhash64("text"))
+    single = marked.alias("d").join(others.alias("o"), same, "left_anti").drop("_signature")
+    # Repeated rows are brought down to one of each task before they are shuffled.
+    again = others.filter("kept")
+    columns = [F.col(c) for c in docs.columns]
+    repeated = (
+        near(marked, "_signature", again)
+        .groupBy("doc_id", "_signature")
+        .agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
+    )
+    one = repeated.alias("d").join(again.alias("o"), same, "left_semi")
+    return single.unionByName(one.select("_row.*"))
