@@ -300,6 +300,25 @@ def test_mixing(docs, rows, nothing):
     assert mixing.take_mix(nothing).count() == 0
 
 
+def test_rows_of_one_doc_id_take_their_own_positions(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 4)
+    rows = [(k, prose(k, 20 + k % 7), "en", f"s{k % 3}", None) for k in range(60)]
+    rows += [(7, prose(f"other{k}", 30), "en", f"s{k % 4}", k) for k in range(20)]
+    rows += [(None, prose(f"nameless{k}", 25), "en", f"s{k % 3}", None) for k in range(30)]
+    rows += [(7, prose("same", 30), "en", "s1", None)] * 11 + [(90, "", "en", "s0", None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCUMENTS).repartition(5).withColumn("size", F.lit("clash"))
+    wanted = Counter()
+    for r in mixing.place_documents(docs).collect():
+        if r["size"]:
+            wanted[(r.doc_id, r.source, r["size"])] += len(r.positions)
+    mix = mixing.take_mix(docs)
+    assert mix.columns == docs.columns
+    found = [tuple(r)[:5] for r in mix.collect()]
+    assert Counter((d, s, len(blank_words(t))) for d, t, _, s, _ in found) == +wanted
+    given = Counter(rows)
+    assert all(n <= 2 * given[row] for row, n in Counter(found).items())
+
+
 def test_moments_invert_the_schedule(spark):
     schedule = (6.0, 5.0, 1.0, 1.0)
     areas = mixing.areas(schedule)

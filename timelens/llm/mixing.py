@@ -17,18 +17,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from timelens.llm.tables import blank_words, key_text, settle, unit_draw
+from timelens.llm.tables import blank_words, key_text, near, settle, unit_draw
 
 #: Weights at the start, the middle and the end; sources take them in turn.
 #: Their integrals are 5, 2 and 1.
 SCHEDULES = ((6.0, 5.0, 4.0), (2.0, 2.0, 2.0), (0.5, 1.0, 1.5))
 SHARE = 1.5
 MOST_REPEATS = 2.0
+#: Copies of one row that a task writes, at most.
+CHUNK = 1000
 
 
 def areas(schedule: Sequence[float]) -> list[float]:
@@ -99,25 +103,22 @@ def source_targets(
     return levels.select("source", "source_size", "turn", target.alias("target"))
 
 
-def place_documents(
-    docs: DataFrame,
-    schedules: Sequence[Sequence[float]] = SCHEDULES,
-    share: float = SHARE,
-    most_repeats: float = MOST_REPEATS,
+def _sizes(docs: DataFrame, *columns: Column) -> DataFrame:
+    """Rows that are alike in ``doc_id``, ``source``, ``size`` and the columns, and how many."""
+    size = F.size(blank_words(F.col("text"))).cast("bigint").alias("size")
+    found = docs.select("doc_id", "source", size, *columns)
+    return found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _starts(
+    sizes: DataFrame, schedules: Sequence[Sequence[float]], share: float, most_repeats: float
 ) -> DataFrame:
-    """Every document with its source's target and its training positions.
+    """Add ``start``, the words of the source before the row, and the source's target.
 
-    ``positions`` holds a time for each copy that the mix takes. Sums run over slices
-    of a source by hash, about the square root of all rows many, so a large source is
-    no large group. Writes a narrow intermediate table when called.
+    ``sizes`` has a row for each doc_id, source and size. Sums run over slices of a source
+    by hash, about the square root of all rows many, so a large source is no large group.
     """
-    sized = settle(
-        docs.select("doc_id", "source", F.size(blank_words(F.col("text"))).cast("bigint").alias("size"))
-        .groupBy("doc_id", "source", "size")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("draw", unit_draw(key_text(F.col("doc_id")))),
-        "sizes",
-    )
+    sized = settle(sizes.withColumn("draw", unit_draw(key_text(F.col("doc_id")))), "sizes")
     slices = max(1, math.isqrt(sized.count()))
     cut = sized.withColumn("slice", F.floor(F.col("draw") * slices).cast("int"))
     words = F.sum(F.col("size") * F.col("rows"))
@@ -138,17 +139,18 @@ def place_documents(
         .orderBy("draw", "doc_id", "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    placed = (
-        cut.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("rows")).over(inside), F.lit(0)))
-        .join(
-            known,
-            F.col("source").eqNullSafe(F.col("of_source")) & (F.col("slice") == F.col("of_slice")),
-        )
-        .withColumn("row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)))
-        .withColumn("start", F.col("offset") + F.col("inside") + F.col("row") * F.col("size"))
+    placed = cut.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("rows")).over(inside), F.lit(0))).join(
+        known,
+        F.col("source").eqNullSafe(F.col("of_source")) & (F.col("slice") == F.col("of_slice")),
     )
+    start = (F.col("offset") + F.col("inside")).alias("start")
+    return placed.select("doc_id", "source", "size", "rows", start, "source_size", "turn", "target")
+
+
+def _positions(start: Column, schedules: Sequence[Sequence[float]], most_repeats: float) -> Column:
+    """A time for each copy that the mix takes of the row that starts at the word ``start``."""
     copies = range(math.ceil(most_repeats))
-    middles = [F.col("start") + F.col("size") / 2.0 + F.col("source_size") * float(k) for k in copies]
+    middles = [start + F.col("size") / 2.0 + F.col("source_size") * float(k) for k in copies]
 
     def position(middle: Column) -> Column:
         part = middle / F.nullif(F.col("target"), F.lit(0.0))
@@ -157,9 +159,26 @@ def place_documents(
             by_turn = F.when(F.col("turn") == k, moment(part, schedule)).otherwise(by_turn)
         return F.when(middle < F.col("target"), by_turn)
 
-    positions = F.array_compact(F.array(*[position(m) for m in middles]))
-    return placed.withColumn("positions", positions).select(
-        "doc_id", "source", "size", "source_size", "target", "positions"
+    return F.array_compact(F.array(*[position(m) for m in middles]))
+
+
+def place_documents(
+    docs: DataFrame,
+    schedules: Sequence[Sequence[float]] = SCHEDULES,
+    share: float = SHARE,
+    most_repeats: float = MOST_REPEATS,
+) -> DataFrame:
+    """Every document with its source's target and its training positions.
+
+    ``positions`` holds a time for each copy that the mix takes. Writes a narrow
+    intermediate table when called.
+    """
+    placed = _starts(_sizes(docs), schedules, share, most_repeats)
+    row = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1))
+    start = F.col("start") + F.col("row") * F.col("size")
+    return placed.withColumn("row", row).select(
+        "doc_id", "source", "size", "source_size", "target",
+        _positions(start, schedules, most_repeats).alias("positions"),
     )
 
 
@@ -188,26 +207,77 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+KEY = ["doc_id", "source", "size"]
+
+
+def _same(left: str, right: str, columns: Sequence[str]) -> Column:
+    pairs = [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns]
+    return reduce(and_, pairs)
+
+
+def _numbered(groups: DataFrame, placed: DataFrame) -> DataFrame:
+    """Where the first row of every group of equal rows starts.
+
+    The groups of one doc_id, source and size follow each other by hash. They are
+    summed up in slices, so many texts under one key are no large group.
+    """
+    groups = groups.filter("size > 0")
+    slices = max(1, math.isqrt(groups.count()))
+    cut = groups.withColumn("slice", F.pmod("alike", F.lit(slices)))
+    before = Window.partitionBy(*KEY).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        cut.groupBy(*KEY, "slice")
+        .agg(F.sum("rows").alias("rows"))
+        .withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    )
+    known = offsets.alias("o").join(placed.alias("p"), _same("o", "p", KEY))
+    known = known.select("o.doc_id", "o.source", "o.size", "slice", "offset", "start", "source_size", "turn", "target")
+    inside = Window.partitionBy(*KEY, "slice").orderBy("alike").rowsBetween(Window.unboundedPreceding, -1)
+    rows = cut.withColumn("inside", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
+    start = F.col("start") + (F.col("offset") + F.col("inside")) * F.col("r.size")
+    return rows.alias("r").join(known.alias("k"), _same("r", "k", [*KEY, "slice"])).select(
+        "r.doc_id", "r.source", "r.size", "r.alike", "r.rows", start.alias("start"), "source_size", "turn", "target"
+    )
+
+
 def take_mix(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, as often as it takes them, in training order.
 
-    A document that occurs in several rows keeps one row for each row and copy.
+    Every row has the positions that ``place_documents`` deals to a row of its doc_id,
+    source and size; rows without words have none. Rows alike in all columns (by a
+    64-bit hash) are fetched once and written as often as the mix takes them. Writes
+    narrow intermediate tables when called.
     """
-    again = "_position"
-    taken = (
-        place_documents(docs)
-        .select(F.col("doc_id").alias("_key"), F.explode("positions").alias(again))
-        .groupBy("_key")
-        .agg(F.array_sort(F.collect_list(again)).alias("_all"))
+    alike = F.xxhash64(*[F.col(c) for c in docs.columns])
+    groups = settle(_sizes(docs, alike.alias("alike")), "groups")
+    placed = _starts(groups.groupBy(*KEY).agg(F.sum("rows").alias("rows")), SCHEDULES, SHARE, MOST_REPEATS)
+    numbered = settle(_numbered(groups, placed), "numbered")
+    size = F.size(blank_words(F.col("text"))).cast("bigint")
+    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "doc_id", "source", size.alias("size"), alike.alias("alike"))
+    again = F.explode(_positions(F.col("start"), SCHEDULES, MOST_REPEATS)).alias("position")
+
+    whole = [*KEY, "alike"]
+    alone = numbered.filter("rows = 1").withColumn("positions", _positions(F.col("start"), SCHEDULES, MOST_REPEATS))
+    alone = alone.filter(F.size("positions") > 0).select(*whole, "positions")
+    once = marked.alias("d").join(alone.alias("n"), _same("d", "n", whole)).select(
+        "row", F.explode("positions").alias("position")
+    )
+    # Equal rows are brought down to one of each task before they are shuffled.
+    several = numbered.filter("rows > 1")
+    texts = near(marked, "alike", several).groupBy(*whole).agg(F.first("row").alias("row"))
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rows") - 1) / CHUNK)))
+    last = F.least(F.col("rows"), (F.col("chunk") + 1) * CHUNK) - 1
+    repeated = (
+        texts.alias("d").join(several.alias("n"), _same("d", "n", whole))
+        .select("row", "n.size", "n.alike", "rows", "start", "source_size", "turn", "target", chunk.alias("chunk"))
+        .repartition("alike", "chunk")
+        .withColumn("number", F.explode(F.sequence(F.col("chunk") * CHUNK, last)))
+        .withColumn("start", F.col("start") + F.col("number") * F.col("size"))
+        .select("row", again)
     )
-    marked = docs.select("*", F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("_rows"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "text"))
-    marked = marked.withColumn("_rank", rank)
-    rows = marked.join(taken, F.col("doc_id").eqNullSafe(F.col("_key")))
-    own = F.filter(F.col("_all"), lambda _, i: i % F.col("_rows") == F.col("_rank") - 1)
     return (
-        rows.withColumn(again, F.explode(own))
-        .repartitionByRange(again, "doc_id")
-        .sortWithinPartitions(again, "doc_id")
-        .select(*[F.col(c) for c in docs.columns])
+        once.unionByName(repeated)
+        .repartitionByRange("position", "row.doc_id")
+        .sortWithinPartitions("position", "row.doc_id")
+        .select("row.*")
     )
