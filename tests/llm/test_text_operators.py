@@ -383,6 +383,34 @@ def test_jaccard_join(docs, rows, nothing, monkeypatch):
     assert jaccard.link_documents(nothing).count() == 0
 
 
+def test_texts_of_one_doc_id_are_fetched_once_each(spark, monkeypatch):
+    """A doc_id with many texts, some in repeated rows: no text comes with another's set."""
+    base = prose("hot", 100)
+    rows = [(None, f"{base} end{k}") for k in range(12)] + [(5, f"{base} tail{k // 4}") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    fetched, compared = [], []
+
+    def settled(frame, name, kept=jaccard.settle):
+        out = kept(frame, name)
+        if name == "texts":
+            fetched.append(Counter(r.fp for r in out.collect()))
+        return out
+
+    def read(docs, chosen, texts=jaccard.texts_of):
+        out = texts(docs, chosen)
+        compared.append(Counter(r.fp for r in out.collect()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_of_class", lambda batches: batches)  # all that the join emits
+    monkeypatch.setattr(jaccard, "settle", settled)
+    monkeypatch.setattr(jaccard, "texts_of", read)
+    found = jaccard.link_documents(docs).collect()
+    assert Counter((r.doc_id, r.component_id) for r in found) == {(None, 5): 12, (5, 5): 12}
+    copies = Counter(rows)
+    assert fetched[0] and sorted(fetched[0].values()) == sorted(copies.values())
+    assert set(compared[0].values()) == {1} and len(compared[0]) == len(copies)
+
+
 def test_one_row_of_every_component_stays(spark, rows):
     near, alone = rows[14][1], prose("unique", 70)
     odd = [

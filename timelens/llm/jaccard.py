@@ -292,20 +292,30 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
 
 
+def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``fp`` and the text of its ``doc_id`` and ``signature``, one row for each ``fp``.
+
+    Rows that repeat a document are brought down to one of each task before the texts
+    of a set are brought together.
+    """
+    signed = docs.select("doc_id", F.xxhash64("text").alias("signature"), "text")
+    same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.signature") == F.col("c.signature"))
+    rows = near(signed, "signature", chosen).alias("d").join(chosen.alias("c"), same).select("c.fp", "d.text")
+    texts = settle(rows.mapInArrow(_of_class, "fp long, text string"), "texts")
+    return texts.groupBy("fp").agg(F.first("text").alias("text"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose whole sets meet the threshold.
 
-    Texts of one document of each class are fetched. A text goes once to every
+    The text of one document of each class is fetched. A text goes once to every
     ``MEMBERS`` texts that it is compared with, so no text is a large group.
     """
     pairs = settle(pairs, "candidates")
     ends = settle(_ends(pairs).join(classes, "fp"), "ends")
     pairs = settle(within_bounds(pairs, ends), "pairs")
-    chosen = settle(_ends(pairs).join(ends, "fp").select("fp", "first.doc_id"), "chosen")
-    texts = near(docs.select("doc_id", "text"), "doc_id", chosen).alias("d").join(
-        chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
-    ).select("c.fp", "d.text")
-    texts = settle(texts.mapInArrow(_of_class, "fp long, text string"), "texts")
+    chosen = settle(_ends(pairs).join(ends, "fp").select("fp", "first.doc_id", "first.signature"), "chosen")
+    texts = texts_of(docs, chosen)
     degrees = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("chunks"))
     members = (
         pairs.join(degrees, "a")
@@ -324,13 +334,18 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text really has the set; another text may have the same doc_id."""
+    """The first row of each set that a task meets; its text must really have the set."""
+    seen: set[int] = set()
     for batch in batches:
-        wanted, keep = batch.column("fp").to_pylist(), []
+        new = {fp: i for i, fp in reversed(list(enumerate(batch.column("fp").to_pylist()))) if fp not in seen}
+        seen.update(new)
+        batch = batch.take(pa.array(sorted(new.values()), pa.int64()))
+        wanted = batch.column("fp").to_pylist()
         for piece in pieces(batch.column("text")):
             for i, values in enumerate(shingle_sets(piece), piece.lo):
-                keep.append(_identity(values)[0] == wanted[i])
-        yield batch.filter(pa.array(keep, pa.bool_()))
+                if _identity(values)[0] != wanted[i]:
+                    raise ValueError("two texts have one hash")
+        yield batch
 
 
 def _linked(docs: DataFrame) -> DataFrame:
