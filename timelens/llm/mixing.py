@@ -73,6 +73,10 @@ def source_targets(
     Sharing by weight and resharing what exceeds a cap until nothing does is filling
     all sources to one level per weight: in order of cap by weight, a source is full
     if the level that the later ones could share does not stay below it.
+
+    All sources are ordered in one task, a narrow row for each. This is meant for few
+    sources beside the documents; hosts or urls as sources give correct targets as well,
+    but only as fast as one task sorts them.
     """
     ordered = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(ordered) - 1) % len(schedules)
