@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelens.llm import decontaminate, hostrules, jaccard, licenses, mixing, quality, repeats, sharding, toxicity, warc
+from timelens.llm import (
+    decontaminate,
+    hostrules,
+    jaccard,
+    licenses,
+    mixing,
+    phrases,
+    quality,
+    repeats,
+    sharding,
+    toxicity,
+    warc,
+)
 from timelens.llm.sql import ORACLE
 from timelens.llm.tables import read_table, work_dir
 
@@ -57,6 +69,10 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -71,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_jaccard_join,
             op9_license_notices,
             op10_curriculum_mix,
+            op12_phrase_mining,
         )
     }
 

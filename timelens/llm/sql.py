@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from timelens.llm.licenses import CONTAINED, NOTICES, PHRASES
+from timelens.llm.phrases import BEST, INSIDE_PERCENT, LONGEST, SCALE, SUPPORT
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -248,6 +249,48 @@ FROM d LEFT JOIN said USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN be
 """
 
 
+def _phrase_sql() -> str:
+    pieces = f"regexp_split_to_array({_lower('text')}, '[.,;:!?\\x0A-\\x0D]')"
+    words = "list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '')"
+    cut = "array_to_string(ws[1:k], ' ') AS head, array_to_string(ws[k + 1:], ' ') AS rest"
+    return f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest({pieces}) AS piece FROM documents),
+split AS (SELECT lang, {words} AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM split GROUP BY lang),
+sizes AS (SELECT unnest(range(1, {LONGEST + 1})) AS m),
+f AS (
+  SELECT lang, m, ws, count(*)::hugeint AS n
+  FROM (SELECT lang, m, ws[i:i + m - 1] AS ws
+        FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM split, sizes WHERE len(ws) >= m))
+  GROUP BY ALL HAVING count(*) >= {SUPPORT}
+),
+c AS (SELECT lang, m, ws, array_to_string(ws, ' ') AS phrase, n AS a FROM f WHERE m >= 2),
+named AS (SELECT lang, array_to_string(ws, ' ') AS phrase, n FROM f),
+cuts AS (
+  SELECT lang, phrase, a, k, {cut} FROM (SELECT *, unnest(range(1, m)) AS k FROM c)
+),
+scores AS (
+  SELECT cuts.lang, cuts.phrase, a, k, h.n AS l, r.n AS r, {SCALE} * a // (h.n + r.n) AS score
+  FROM cuts JOIN named h ON h.lang = cuts.lang AND h.phrase = head
+  JOIN named r ON r.lang = cuts.lang AND r.phrase = rest
+),
+least AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, a, array_to_string(ws[i:i + s - 1], ' ') AS phrase
+        FROM (SELECT lang, a, ws, s, unnest(range(1, m - s + 2)) AS i
+              FROM (SELECT *, unnest(range(2, m)) AS s FROM c)))
+  GROUP BY lang, phrase
+),
+kept AS (
+  SELECT least.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM least LEFT JOIN inside USING (lang, phrase) WHERE 100 * coalesce(longer, 0) < {INSIDE_PERCENT} * a
+)
+SELECT lang, rank, phrase, a::bigint AS a, l::bigint AS l, r::bigint AS r, n::bigint AS n, score::bigint AS score
+FROM kept JOIN totals USING (lang) WHERE rank <= {BEST}
+"""
+
+
 ORACLE = {
     "op2_decontaminate": OP2,
     "op4_host_rules": OP4,
@@ -255,4 +298,5 @@ ORACLE = {
     "op6_rendezvous_shards": OP6,
     "op9_license_notices": _license_sql(),
     "op10_curriculum_mix": OP10,
+    "op12_phrase_mining": _phrase_sql(),
 }
