@@ -11,9 +11,11 @@ from timelens.llm import (
     decontaminate,
     hostrules,
     jaccard,
+    languages,
     licenses,
     mixing,
     phrases,
+    prefixes,
     quality,
     repeats,
     sharding,
@@ -69,10 +71,18 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.judge_language(read_table(spark, sf_dir, "documents"))
+
+
 def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -87,7 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_jaccard_join,
             op9_license_notices,
             op10_curriculum_mix,
+            op11_hyperdimensional_language,
             op12_phrase_mining,
+            op13_prefix_trie,
         )
     }
 

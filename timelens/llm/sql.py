@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from timelens.llm.licenses import CONTAINED, NOTICES, PHRASES
 from timelens.llm.phrases import BEST, INSIDE_PERCENT, LONGEST, SCALE, SUPPORT
+from timelens.llm.prefixes import FAMILY, TURNS
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -291,6 +292,68 @@ FROM kept JOIN totals USING (lang) WHERE rank <= {BEST}
 """
 
 
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's bytes, four bits at a time."""
+    digits = f"string_split(hex(encode({text})), '')"
+    nibbles = f"list_transform(range(0, len({digits})), lambda k: ('0x' || ({digits})[k - 2 * (k % 2) + 2])::bigint)"
+    step = f"xor(c >> 4, ({_CRC})[(xor(c, b) & 15) + 1])"
+    return f"xor(list_reduce({nibbles}, lambda c, b: {step}, 4294967295::bigint), 4294967295::bigint)"
+
+
+OP13 = f"""
+WITH given AS (
+  SELECT conv_id::bigint AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+hashed AS (SELECT c, turn, text, md5(length(role)::varchar || ':' || role || text) AS digest FROM given),
+placed AS (
+  SELECT c, digest, length(text)::bigint AS tokens,
+    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) - 1 AS place
+  FROM hashed
+),
+convs AS (
+  SELECT c, c - c % {FAMILY} AS source, {_crc32('c::varchar')} % {TURNS} AS wanted
+  FROM (SELECT DISTINCT c FROM placed)
+),
+rebuilt AS (
+  SELECT convs.c, 0 AS part, place, digest, tokens
+  FROM convs JOIN placed ON placed.c = source AND place < wanted
+  UNION ALL
+  SELECT convs.c, 1, place, digest, tokens FROM convs JOIN placed ON placed.c = convs.c AND place >= wanted
+),
+paths AS (
+  SELECT c, tokens, row_number() OVER w AS depth, md5(string_agg(digest, ',') OVER w) AS name,
+    count(*) OVER (PARTITION BY c) AS turns
+  FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY part, place ROWS UNBOUNDED PRECEDING)
+  UNION ALL
+  SELECT c, 0, 0, '', (SELECT count(*) FROM rebuilt WHERE rebuilt.c = convs.c) FROM convs
+),
+nodes AS (
+  SELECT depth, name, min(c) AS owner, count(*) AS n_convs, max(tokens) AS tokens FROM paths GROUP BY depth, name
+),
+edges AS (
+  SELECT nodes.*, above.name AS above, parents.owner AS parent_conv_id
+  FROM nodes LEFT JOIN paths above ON above.c = nodes.owner AND above.depth = nodes.depth - 1
+  LEFT JOIN nodes parents ON parents.depth = above.depth AND parents.name = above.name
+),
+children AS (SELECT depth - 1 AS depth, above AS name, count(*) AS n_children FROM edges WHERE depth > 0 GROUP BY 1, 2),
+worth AS (
+  SELECT nodes.depth, owner, (n_convs - 1) * tokens AS saved, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf
+  FROM nodes LEFT JOIN children USING (depth, name)
+),
+below AS (
+  SELECT paths.depth, name, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM paths JOIN worth ON owner = c AND worth.depth >= paths.depth GROUP BY ALL
+),
+ended AS (
+  SELECT depth, name, string_agg(c::varchar, ',' ORDER BY c) AS ids FROM paths WHERE depth = turns GROUP BY ALL
+)
+SELECT owner AS conv_id, edges.depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children,
+  n_leaves::bigint AS n_leaves, saved_tokens::bigint AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM edges LEFT JOIN children USING (depth, name) LEFT JOIN below USING (depth, name) LEFT JOIN ended USING (depth, name)
+"""
+
+
 ORACLE = {
     "op2_decontaminate": OP2,
     "op4_host_rules": OP4,
@@ -299,4 +362,5 @@ ORACLE = {
     "op9_license_notices": _license_sql(),
     "op10_curriculum_mix": OP10,
     "op12_phrase_mining": _phrase_sql(),
+    "op13_prefix_trie": OP13,
 }
