@@ -220,9 +220,13 @@ def test_text_forms(spark):
 
 def test_written_rows_are_counted(spark):
     out = new_work_dir(spark, "table")
-    assert write_table(spark.range(10), out) == 10
-    check_written(spark, out, 10)
-    assert write_table(spark.range(3).withColumn("p", F.col("id") % 2), out, ["p"]) == 3
-    assert read_table(spark, out).count() == 3
+    ten = write_table(spark.range(10), out)
+    assert ten.rows == 10
+    check_written(spark, out, ten)
+    three = write_table(spark.range(3).withColumn("p", F.col("id") % 2), out, ["p"], check=True)
+    assert three.rows == 3 and read_table(spark, out).count() == 3
     with pytest.raises(ValueError):
-        check_written(spark, out, 4)
+        check_written(spark, out, three._replace(rows=4))
+    write_table(spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "id bigint, p bigint"), out)
+    with pytest.raises(ValueError):  # one row lost, another one there twice
+        check_written(spark, out, three)

@@ -1,10 +1,13 @@
 import datetime
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import entries, texts
 from timelens.operators.calendar import period
-from timelens.operators.expand import calendar_days, explode_tags, hour_fanout, touching
+from timelens.functions.zones import transitions
+from timelens.operators.expand import calendar_days, explode_tags, hour_fanout, is_calm, touching
 
 
 def hours(rows):
@@ -78,6 +81,59 @@ def test_fall_back_and_spring_forward(spark):
     ]
 
 
+@pytest.mark.parametrize(
+    "name", ["America/New_York", "Australia/Lord_Howe", "Africa/Casablanca", "Asia/Kolkata", "Europe/Berlin"]
+)
+def test_fan_out_in_zones_of_all_kinds(spark, name):
+    """Half-hour changes, two changes within a month, none at all, and far-off years."""
+    from zoneinfo import ZoneInfo
+
+    spark.conf.set("spark.sql.session.timeZone", name)
+    zone, utc = ZoneInfo(name), datetime.timezone.utc
+    rng = random.Random(name)
+    lengths = (-4000, -61, -30, 0, 20, 59, 61, 180, 1500, 60 * 24 * 40)
+    near = [t for t in transitions(name) if 1_500_000_000 < t < 1_800_000_000] or [1_600_000_000]
+    cases = []
+    for _ in range(150):
+        begin = rng.choice(near) + 60 * rng.randrange(-60 * 80, 60 * 50)
+        cases.append((begin, begin + 60 * rng.choice(lengths)))
+    cases += [(t + 3600 * a, t + 3600 * b) for t in near[:6] for a in (-3, -2, -1, 0, 1) for b in (-2, 0, 1, 2, 3)]
+    cases += [(1_600_000_000 + 86_400 * d, 1_600_000_000 + 86_400 * d + 5400) for d in range(0, 730, 11)]
+    made = spark.createDataFrame([(i, *case) for i, case in enumerate(cases)], "entry_id long, s long, e long")
+    made = made.selectExpr("entry_id", "timestamp_seconds(s) AS start", "timestamp_seconds(e) AS end", "'x' AS project")
+    found = {}
+    for row in hour_fanout(made).selectExpr("entry_id", "k", "unix_seconds(startdate) s").collect():
+        found.setdefault(row["entry_id"], []).append((row["k"], row["s"]))
+    for i, (s, e) in enumerate(cases):
+        begin, end = (datetime.datetime.fromtimestamp(t, utc) for t in (s, e))
+        wanted = [int(h.timestamp()) for h in brute_force_hours(begin, end, zone)]
+        assert [s for _, s in sorted(found[i])] == wanted, (begin, end)
+    # Only entries near a change are looked at hour by hour, but all of those.
+    calm = made.select("entry_id", is_calm(F.col("start"), F.col("end"), name).alias("calm")).collect()
+    for row in calm:
+        s, e = sorted(cases[row.entry_id])
+        changes = [t for t in transitions(name) if s - 3600 < t <= e + 7200]
+        assert not (row.calm and changes)
+        if not changes and not [t for t in transitions(name) if s - 40 * 86_400 < t < e + 40 * 86_400]:
+            assert row.calm
+
+
+def test_years_outside_the_table_are_exact_too(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    rows = [("p", "d", ["t"], f"{y}-07-01 10:50:00", f"{y}-07-01 12:10:00") for y in ("1805", "1950", "2199", "2301")]
+    found = hour_fanout(entries(spark, rows)).orderBy("entry_id", "k").selectExpr("hour(startdate) AS h")
+    assert [r.h for r in found.collect()] == [10, 11, 12] * 4
+
+
+def test_calm_entries_build_no_array(spark):
+    """The hours of the wall clock would fail here; entries of a calm summer never get there."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    made = entries(spark, [("p", "d", ["t"], "2021-06-01 08:10:00", "2021-06-01 10:20:00")] * 3)
+    failing = F.raise_error(F.lit("looked at hour by hour")).cast("bigint")
+    steps = F.when(is_calm(F.col("start"), F.col("end"), "America/New_York"), F.lit(1)).otherwise(failing)
+    assert [r[0] for r in made.select(steps).collect()] == [1, 1, 1]
+
+
 def test_tags_explode_and_empty_lists_vanish(spark):
     made = entries(
         spark,

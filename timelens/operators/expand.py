@@ -6,17 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timelens.functions.timeparts import week_start
+from timelens.functions.zones import keeps_offset
 from timelens.session import has_fixed_offset, session_zone
 
 
 def _later_hours(start: Column, end: Column, zone: str) -> Column:
-    """How many clock hours after its first one an entry touches."""
+    """How many clock hours after its first one an entry touches.
+
+    While the zone keeps its offset, hours of the clock pass as hours do. Only for an
+    entry near a change of the offset are the hours looked at one by one.
+    """
+    hours = F.timestamp_diff("HOUR", F.date_trunc("hour", start), F.date_trunc("hour", end))
+    passed = F.greatest(F.lit(0).cast("bigint"), hours)
     if has_fixed_offset(zone):
-        hours = F.timestamp_diff("HOUR", F.date_trunc("hour", start), F.date_trunc("hour", end))
-        return F.greatest(F.lit(0).cast("bigint"), hours)
+        return passed
+    return F.when(is_calm(start, end, zone), passed).otherwise(_hours_on_the_wall(start, end))
+
+
+def is_calm(start: Column, end: Column, zone: str) -> Column:
+    """True when no clock hour that an entry touches, or the one after, sees a change."""
+    lower = F.timestamp_add("HOUR", F.lit(-1), F.least(start, end))
+    upper = F.timestamp_add("HOUR", F.lit(2), F.greatest(start, end))
+    return keeps_offset(lower, upper, zone)
+
+
+def _hours_on_the_wall(start: Column, end: Column) -> Column:
+    """The fan-out by the clock on the wall, step by step.
+
+    It stops at the first step whose wall-clock hour is no longer before that of the end.
+    """
 
-    # Where clocks change, the fan-out goes by the clock on the wall: it stops at
-    # the first step whose wall-clock hour is no longer before that of the end.
     def wall_hour(ts: Column) -> Column:
         return F.date_trunc("hour", ts.cast("timestamp_ntz"))
 

@@ -74,7 +74,7 @@ def _number(level: str) -> Column:
     return level_number(level, F.col("date"), F.col("hour")).alias(level)
 
 
-def _with_level_text(rows: DataFrame, levels: Sequence[str]) -> DataFrame:
+def add_level_text(rows: DataFrame, levels: Sequence[str]) -> DataFrame:
     return rows.withColumns({level: level_text(level, F.col(level)) for level in levels})
 
 
@@ -95,7 +95,7 @@ def slice_rows(cells: DataFrame, keys: Sequence[str], slice_type: str) -> DataFr
         counted = per_day.groupBy(*keys, *numbers).agg(
             F.count(F.lit(1)).alias("count"), F.sum("n").alias("hourCount")
         )
-    return _with_level_text(counted, levels)
+    return add_level_text(counted, levels)
 
 
 def all_slices(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -115,7 +115,7 @@ def all_slices(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     finest = cells.groupBy(*keys, *[_number(level) for level in LEVELS]).agg(n, seconds)
     by_hour = (
-        _grouping_sets(finest, keys, LEVELS, {s: SLICES[s] for s in hourly}, [n, seconds])
+        grouping_sets(finest, keys, LEVELS, {s: SLICES[s] for s in hourly}, [n, seconds])
         .unionByName(finest.withColumn("histType", F.lit(finest_slice)))
         .withColumn("days", F.lit(None).cast("bigint"))
     )
@@ -125,7 +125,7 @@ def all_slices(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     per_day = per_day.select(
         *keys, *[level_number(v, F.col("date")).alias(v) for v in day_levels], "n", "seconds"
     )
-    by_day = _grouping_sets(
+    by_day = grouping_sets(
         per_day,
         keys,
         day_levels,
@@ -141,7 +141,7 @@ def all_slices(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
     rows = by_hour.unionByName(by_day)
-    return _with_level_text(rows, LEVELS).select(
+    return add_level_text(rows, LEVELS).select(
         "histType",
         *keys,
         *LEVELS,
@@ -151,7 +151,7 @@ def all_slices(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _grouping_sets(
+def grouping_sets(
     rows: DataFrame,
     keys: Sequence[str],
     levels: Sequence[str],

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,14 +13,35 @@ from timelens.operators.document import by_entity, by_tag, by_time, labelled_tim
 from timelens.operators.entries import entries_from_export
 from timelens.operators.nesting import hist_json
 from timelens.operators.ranking import top_per_time_type
-from timelens.operators.slices import all_slices, rollup_base, tag_cells
+from timelens.operators.slices import rollup_base, tag_cells
+from timelens.operators.states import (
+    YEARLESS,
+    YEARLY,
+    cell_state,
+    clock_state,
+    day_state,
+    merged_days,
+    merged_sums,
+    merged_tags,
+    year_text,
+    yearless_slices,
+    yearly_slices,
+)
 from timelens.operators.totals import attach_tags, distinct_tags, time_totals, totals
+from timelens.session import new_work_dir
 from timelens.sources.csv_entries import scan_csv
-from timelens.sources.tables import check_written, read_table, write_documents, write_table
+from timelens.sources.snapshots import Snapshot, Written, publish, replace, snapshot, table
+from timelens.sources.tables import write_documents, write_table
 
 
-#: The rollup table of projects, groups and tags; its slices are in ``slices_<name>``.
+#: The rollup table of projects, groups and tags. Its slices are in ``slices_<name>``, the
+#: states they come from in ``cells_<name>`` and ``days_<name>``, tag lists in ``types_<name>``.
 ROLLUP_TABLES = {"project": "totalsProject", "group": "totalsGrouped", "tag": "totalsTyped"}
+ROLLUP_KEYS = {
+    "totalsProject": ["project"],
+    "totalsGrouped": ["project", "description"],
+    "totalsTyped": ["tag"],
+}
 
 
 def process_exports(
@@ -27,56 +50,137 @@ def process_exports(
     out: str,
     multiline: bool = False,
     rules: Rules = Rules(),
-) -> int:
-    """CSV exports to the entry table, cleaned and tagged by ``rules``. One narrow stage."""
+) -> Written:
+    """CSV exports to the entry table, cleaned and tagged by ``rules``. One narrow stage.
+
+    The new table is compared with what was handed to the writer, and only then takes
+    the old one's place.
+    """
     entries = entries_from_export(scan_csv(spark, paths, multiline), rules)
-    written = write_table(entries, out)
-    check_written(spark, out, written)
-    return written
+    return write_table(entries, out, check=True)
 
 
 def build_rollups(spark: SparkSession, entries: DataFrame, out: str) -> dict[str, int]:
-    """Entries to all rollup tables below ``out``; returns rows per table.
+    """Entries to all rollup tables below ``out``, in place of any that are there.
 
-    The base is written first and read back: every rollup then starts from the
-    aggregated cells on shared storage, whatever happens to executors meanwhile.
+    Returns the rows of each table. Readers see the old tables until all are written.
     """
-    counts = {"base": write_table(rollup_base(entries), f"{out}/base")}
-    base = read_table(spark, f"{out}/base")
-    for name, keys, cells in (
-        ("totalsProject", ["project"], base),
-        ("totalsGrouped", ["project", "description"], base),
-        ("totalsTyped", ["tag"], tag_cells(base)),
-    ):
-        slices = f"{out}/slices_{name}"
-        counts[f"slices_{name}"] = write_table(all_slices(cells, keys), slices, ["histType"])
-        hists = hist_json(read_table(spark, slices), keys)
-        if name != "totalsTyped":
-            types = distinct_tags(base, keys)
-            counts[f"types_{name}"] = write_table(types, f"{out}/types_{name}")
-            hists = attach_tags(hists, read_table(spark, f"{out}/types_{name}"), keys)
-        counts[name] = write_table(hists, f"{out}/{name}", ["histType"])
-    counts["totals"] = write_table(totals(base, "started"), f"{out}/totals")
-    counts["totalsTime"] = write_table(time_totals(base), f"{out}/totalsTime")
+    before = snapshot(spark, out)
+    return _add(spark, entries, before._replace(tables={}, batches=()), None)
+
+
+def add_entries(
+    spark: SparkSession, entries: DataFrame, out: str, batch: str | None = None
+) -> dict[str, int]:
+    """Add entries, such as the export of one more year, to the rollups below ``out``.
+
+    The result is that of ``build_rollups`` over all entries. The stored states and
+    slices of years that the new entries do not touch are neither read for it nor
+    written. Slices without a year add up the stored ones of all years; histograms as
+    JSON and time totals are made anew from the slices and the clock. A batch that has
+    been added before is refused. Returns the rows written to each table.
+    """
+    before = snapshot(spark, out)
+    if batch is not None and batch in before.batches:
+        raise ValueError(f"{out}: the batch {batch} has been added before")
+    return _add(spark, entries, before, batch)
+
+
+def _add(
+    spark: SparkSession, entries: DataFrame, before: Snapshot, batch: str | None
+) -> dict[str, int]:
+    """Merge entries into the tables of a version and publish the next one.
+
+    The new entries are aggregated once and written; everything after starts from
+    tables on shared storage, whatever happens to executors meanwhile. Projects, groups,
+    tags and the clock do not depend on each other, so their writes run side by side.
+    """
+    work = new_work_dir(spark, "base")
+    rollup_base(entries).write.parquet(work)
+    base = spark.read.parquet(work)
+    # As many as the calendar has.
+    years = [r.year for r in base.select(year_text().alias("year")).distinct().collect()]
+    chains = [partial(_add_slices, name=name, years=years) for name in ROLLUP_KEYS]
+    with ThreadPoolExecutor(len(chains) + 1) as pool:
+        running = [pool.submit(chain, Draft(spark, before), base) for chain in (*chains, _add_times)]
+        drafts = [r.result() for r in running]
+    tables, counts = dict(before.tables), {}
+    for draft in drafts:
+        tables |= {name: draft.tables.tables[name] for name in draft.counts}
+        counts |= draft.counts
+    publish(spark, before._replace(tables=tables), batch)
     return counts
 
 
+class Draft:
+    """Tables of a version together with what has been written since, but not published."""
+
+    def __init__(self, spark: SparkSession, tables: Snapshot) -> None:
+        self.spark, self.tables = spark, tables
+        self.counts: dict[str, int] = {}
+
+    def store(self, name: str, rows: DataFrame, *args, **options) -> None:
+        self.tables, written = replace(self.tables, name, rows, *args, **options)
+        self.counts[name] = self.counts.get(name, 0) + written.rows
+
+    def stored(self, name: str, choice: dict | None = None) -> DataFrame:
+        return table(self.spark, self.tables, name, choice or {})
+
+    def with_stored(self, name: str, new: DataFrame, choice: dict | None = None) -> DataFrame:
+        return self.stored(name, choice).unionByName(new) if name in self.tables.tables else new
+
+
+def _add_slices(draft: Draft, base: DataFrame, name: str, years: Sequence[str]) -> Draft:
+    """States, slices, tag lists and histograms of projects, groups or tags."""
+    keys, touched = ROLLUP_KEYS[name], {"year": years}
+    cells = tag_cells(base) if keys == ["tag"] else base
+    sums = draft.with_stored(f"cells_{name}", cell_state(cells, keys), touched)
+    draft.store(f"cells_{name}", merged_sums(sums, ["n", "seconds"]), ["year"], only=touched)
+    days = draft.with_stored(f"days_{name}", day_state(cells, keys), touched)
+    draft.store(f"days_{name}", merged_days(days), ["year"], only=touched)
+
+    slices, by = f"slices_{name}", ["histType", "year"]
+    order = ["month", *keys, "day", "hour"]
+    states = [draft.stored(f"{state}_{name}", touched) for state in ("cells", "days")]
+    yearly = {**touched, "histType": YEARLY}
+    draft.store(slices, yearly_slices(*states, keys), by, order, only=yearly)
+    of_all_years = draft.stored(slices, {"histType": tuple(YEARLESS.values())})
+    yearless = {"histType": tuple(YEARLESS)}
+    draft.store(slices, yearless_slices(of_all_years, keys), by, order, only=yearless)
+
+    hists = hist_json(draft.stored(slices), keys)
+    if keys != ["tag"]:
+        types = draft.with_stored(f"types_{name}", distinct_tags(base, keys))
+        draft.store(f"types_{name}", merged_tags(types))
+        hists = attach_tags(hists, draft.stored(f"types_{name}"), keys)
+    draft.store(name, hists, ["histType"])
+    return draft
+
+
+def _add_times(draft: Draft, base: DataFrame) -> Draft:
+    """Totals, and the time totals by way of the clock."""
+    summed = draft.with_stored("totals", totals(base, "started"))
+    draft.store("totals", merged_sums(summed, ["totalTime"]))
+    clock = draft.with_stored("clock", clock_state(base))
+    draft.store("clock", merged_sums(clock, ["n", "starts", "started"]))
+    draft.store("totalsTime", time_totals(draft.stored("clock")))
+    return draft
+
+
+def rollup_table(
+    spark: SparkSession, rollups: str, name: str, choice: dict | None = None
+) -> DataFrame:
+    """A stored rollup table, or its partitions with the chosen values."""
+    return table(spark, snapshot(spark, rollups), name, choice or {})
+
+
 def build_document(
     spark: SparkSession, rollups: str, out: str, compat_labels: bool = False
 ) -> None:
-    """Rollup tables to the sections of the result document, as JSON lines."""
-
-    def table(name: str) -> DataFrame:
-        return read_table(spark, f"{rollups}/{name}")
-
-    rows = document_rows(
-        table("totalsTime"),
-        table("totalsTyped"),
-        table("totalsGrouped"),
-        table("totalsProject"),
-        table("totals"),
-        compat_labels,
-    )
+    """Rollup tables of one version to the sections of the result document, as JSON lines."""
+    tables = snapshot(spark, rollups)
+    names = ("totalsTime", "totalsTyped", "totalsGrouped", "totalsProject", "totals")
+    rows = document_rows(*[table(spark, tables, name) for name in names], compat_labels)
     write_documents(rows, out)
 
 

@@ -35,8 +35,7 @@ from timelens.operators.series import (
 )
 from timelens.operators.slices import hour_cells, slice_rows, tag_cells
 from timelens.operators.totals import group_totals, time_totals
-from timelens.plans.jobs import ROLLUP_TABLES
-from timelens.sources.tables import read_table
+from timelens.plans.jobs import ROLLUP_TABLES, rollup_table
 
 KEYS = {"project": ["project"], "group": ["project", "description"], "tag": ["tag"]}
 
@@ -68,10 +67,26 @@ def live_slice(
     return slice_rows(cells, KEYS[kind], slice_type)
 
 
-def stored_slice(spark: SparkSession, rollups: str, kind: str, slice_type: str) -> DataFrame:
-    """Rows of one slice from the stored rollups: one partition of the slice table."""
-    slices = read_table(spark, f"{rollups}/slices_{ROLLUP_TABLES[kind]}")
-    return slices.filter(F.col("histType") == slice_type)
+def stored_slice(
+    spark: SparkSession,
+    rollups: str,
+    kind: str,
+    slice_type: str,
+    year: str | None = None,
+    month: str | None = None,
+) -> DataFrame:
+    """Rows of one slice from the stored rollups, those of the given year and month.
+
+    Slice and year are partitions, and only their folders are listed. Inside a
+    partition rows are sorted by month, so the statistics of row groups skip the rest.
+    """
+    choice = {"histType": [slice_type]}
+    if year is not None and "year" in SLICES[slice_type]:
+        choice["year"] = [year]
+    rows = rollup_table(spark, rollups, f"slices_{ROLLUP_TABLES[kind]}", choice)
+    if month is not None and "month" in SLICES[slice_type]:
+        rows = rows.filter(F.col("month") == month)
+    return rows
 
 
 def chart_series(
@@ -129,7 +144,9 @@ def histogram_page(
     spark: SparkSession, rollups: str, kind: str, slice_type: str, **options
 ) -> DataFrame:
     """Bars of one histogram page from the stored rollups; options as ``chart_series``."""
-    return histogram_bars(stored_slice(spark, rollups, kind, slice_type), kind, slice_type, **options)
+    chosen = check_options(slice_type, options.get("year"), options.get("month"))
+    rows = stored_slice(spark, rollups, kind, slice_type, **chosen)
+    return histogram_bars(rows, kind, slice_type, **options)
 
 
 def live_histogram_page(
@@ -155,7 +172,7 @@ def heatmap_days(totals: DataFrame) -> DataFrame:
 
 
 def heatmap_page(spark: SparkSession, rollups: str) -> DataFrame:
-    return heatmap_days(read_table(spark, f"{rollups}/totalsTime"))
+    return heatmap_days(rollup_table(spark, rollups, "totalsTime"))
 
 
 def live_heatmap_page(entries: DataFrame) -> DataFrame:
@@ -163,7 +180,7 @@ def live_heatmap_page(entries: DataFrame) -> DataFrame:
 
 
 def stored_groups(spark: SparkSession, rollups: str) -> DataFrame:
-    totals = read_table(spark, f"{rollups}/totals")
+    totals = rollup_table(spark, rollups, "totals")
     groups = totals.filter(F.col("sliceType") == "project.description")
     return groups.select("project", "description", "totalTime")
 

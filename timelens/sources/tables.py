@@ -1,41 +1,53 @@
-"""Tables on shared storage: drop-and-recreate writes with counted rows."""
+"""Tables on shared storage: checked writes that replace a table in one step."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from timelens.sources.snapshots import Written, found_rows, has_versions, publish, replace, snapshot, table
 
-def write_table(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
-    """Replace the table at ``path``; returns the number of rows handed to the writer.
+ROWS = "rows"
 
-    The count is observed during the write, so it costs no second scan. A
-    partitioned table is rebalanced by its partition columns first: adaptive
-    execution then splits large partition values and merges small ones, instead
-    of every task writing a sliver of every partition.
+
+def write_table(
+    rows: DataFrame, path: str, partition_by: Sequence[str] = (), check: bool = False
+) -> Written:
+    """Replace the table at ``path``; returns what was handed to the writer.
+
+    The count and the content are observed during the write, so they cost no second
+    scan. Readers see the old rows until the new ones are complete; with ``check`` the
+    new files are read and compared before they take the old ones' place.
     """
-    seen = Observation()
-    if partition_by:
-        rows = rows.hint("rebalance", *partition_by)
-    counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
-    writer = counted.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return seen.get["rows"]
+    spark = rows.sparkSession
+    after, written = replace(snapshot(spark, path), ROWS, rows, partition_by)
+    if check:
+        compare(table(spark, after, ROWS), path, written)
+    publish(spark, after)
+    return written
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The newest version of the table, or plain Parquet where there are no versions."""
+    if not has_versions(spark, path):
+        return spark.read.parquet(path)
+    return table(spark, snapshot(spark, path), ROWS)
 
 
-def check_written(spark: SparkSession, path: str, expected: int) -> None:
-    """Fail unless the table holds exactly the rows that were handed to the writer."""
-    found = read_table(spark, path).count()
+def compare(rows: DataFrame, name: str, expected: Written) -> None:
+    """Fail unless these are the rows that were handed to the writer, in any order.
+
+    Counts alone miss a lost row beside a doubled one; the sum of hashes does not.
+    """
+    found = found_rows(rows)
     if found != expected:
-        raise ValueError(f"{path}: wrote {expected} rows, found {found}")
+        raise ValueError(f"{name}: wrote {expected}, found {found}")
+
+
+def check_written(spark: SparkSession, path: str, expected: Written) -> None:
+    """Fail unless the table holds exactly the rows that were handed to the writer."""
+    compare(read_table(spark, path), path, expected)
 
 
 DOCUMENT_SCHEMA = "entity string, project string, description string, json string, section string"

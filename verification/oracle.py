@@ -22,6 +22,7 @@ from verification.registry import (
     EVENT_SLICES,
     GROUP_MONTH,
     GROUP_YEAR,
+    LOCAL_ZONE,
     NESTED_SLICES,
     OWN_RULES,
     PAGES,
@@ -127,6 +128,24 @@ houred AS (
 TAGGED = "tagged AS (SELECT * EXCLUDE (types), unnest(types) AS tag FROM houred)"
 
 
+LOCAL_HOURS = f"""
+walls AS (
+  SELECT entry_id, "start", k,
+    timezone('{LOCAL_ZONE}', timezone('UTC', "start" + k * interval 1 hour)) AS wall,
+    timezone('{LOCAL_ZONE}', timezone('UTC', "end")) AS last_wall
+  FROM (
+    SELECT entry_id, "start", "end",
+      unnest(range(0, greatest(0, date_diff('hour', "start", "end")) + 4)) AS k
+    FROM entries
+  )
+),
+touched AS (
+  SELECT *, min(CASE WHEN date_trunc('hour', wall) >= date_trunc('hour', last_wall) THEN k END)
+    OVER (PARTITION BY entry_id) AS last
+  FROM walls
+)"""
+
+
 def _with(body: str, *ctes: str) -> str:
     return f"WITH {', '.join(ctes)}\n{body}"
 
@@ -672,10 +691,15 @@ def oracle_sql() -> dict[str, str]:
         "entry_table": _with(ENTRY_TABLE, ENTRIES),
         "hour_fanout": _with(HOUR_ROWS, ENTRIES, HOURED),
         "hour_fanout_events": _with(HOUR_ROWS, EVENTS, HOURED),
+        "hour_fanout_local": _with(
+            "SELECT entry_id, k, wall AS startdate FROM touched WHERE k <= last", ENTRIES, LOCAL_HOURS
+        ),
         "explode_tags": _with("SELECT entry_id, unnest(types) AS tag FROM entries", ENTRIES),
         "distinct_tags_group": _with(_types("group"), ENTRIES),
         "distinct_tags_project": _with(_types("project"), ENTRIES),
         "totals": _with(TOTALS, ENTRIES),
+        "grown_totals": _with(TOTALS, ENTRIES),
+        "grown_time_totals": _hours("SELECT * FROM times", TIMES),
         "split_totals": _with(
             'SELECT project, description, total AS "totalTime" FROM groups', ENTRIES, GROUPS
         ),
@@ -739,8 +763,10 @@ def oracle_sql() -> dict[str, str]:
         "quality_violations_events": _violations(EVENTS),
         "quality_violations_seeded": _violations(ENTRIES, seeded=True),
         "row_counts": _hours(ROW_COUNTS, TIMES),
-        "written_counts": "SELECT CAST(count(*) AS BIGINT) AS written, "
-        "CAST(count(*) AS BIGINT) AS found FROM orders",
+        "written_counts": "SELECT count(*) AS written, count(*) AS found, true AS same_content FROM orders",
+        "written_faults": """SELECT "table", count(*) AS rows, true AS same_rows, "table" = 'sound' AS same_content
+FROM orders, (VALUES ('sound'), ('damaged')) AS cases("table") GROUP BY "table" """,
+        "grown_documents": _hours(_hists_with_types("group")),
         "page_live_g3_group": _page("group", "dayMonthYearCount"),
         "page_live_tag_events": _page("tag", "dayCount", EVENTS),
         "page_g8_heatmap": _hours(
@@ -753,7 +779,8 @@ def oracle_sql() -> dict[str, str]:
         "page_g9_sunburst": _extents(2 * math.pi),
     }
     for kind in KEYS:
-        sql[f"all_slices_{kind}"] = _hours(_all_slices(kind))
+        for name in ("all_slices", "stored_slices", "grown_slices"):
+            sql[f"{name}_{kind}"] = _hours(_all_slices(kind))
         sql[f"hist_json_{kind}"] = _hours(
             _all_hists(kind) if kind == "tag" else _hists_with_types(kind)
         )

@@ -36,12 +36,20 @@ from timelens.operators.totals import (
     attach_tags,
     distinct_tags,
     group_totals,
+    row_counts,
     split_key,
     time_totals,
     totals,
 )
 from timelens.functions.rules import Rules
-from timelens.plans.jobs import ROLLUP_TABLES, build_document, build_rollups, process_exports
+from timelens.plans.jobs import (
+    ROLLUP_TABLES,
+    add_entries,
+    build_document,
+    build_rollups,
+    process_exports,
+    rollup_table,
+)
 from timelens.plans.pages import (
     KEYS,
     chart_series,
@@ -53,6 +61,7 @@ from timelens.plans.pages import (
 )
 from timelens.session import new_work_dir
 from timelens.sources.csv_entries import scan_csv, write_csv
+from timelens.sources.snapshots import found_rows, row_content
 from timelens.sources.tables import check_written, read_documents, read_table, write_table
 from verification.fixtures import document_texts, event_entries, order_entries, order_rows
 
@@ -62,6 +71,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 GROUP_YEAR, GROUP_MONTH = "1999", "04"
 TAG_YEAR, TAG_MONTH = "1997", "04"
 
+# Fixed value: the zone of the fan-out in local time.
+LOCAL_ZONE = "America/New_York"
+
+# Fixed value: from this day on entries come with a second export.
+SECOND_EXPORT = "1998-07-01"
+
 ENTRY_OUTPUT = ("entry_id", "project", "description", "billable", "start", "end", "duration")
 
 
@@ -197,6 +212,17 @@ def hour_fanout_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _naive(rows.select("entry_id", F.col("k").cast("bigint").alias("k"), "startdate"), "startdate")
 
 
+def hour_fanout_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fan-out by the clock on a wall where clocks change; local times come out."""
+    entries = order_entries(spark, sf_dir)
+    spark.conf.set("spark.sql.session.timeZone", LOCAL_ZONE)
+    try:  # the zone goes into the expressions when they are made
+        rows = hour_fanout(entries.select("entry_id", "start", "end"))
+        return _naive(rows.select("entry_id", F.col("k").cast("bigint").alias("k"), "startdate"), "startdate")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def explode_tags_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_tags(order_entries(spark, sf_dir)).select("entry_id", "tag")
 
@@ -254,7 +280,55 @@ def all_slices_query(kind: str) -> Query:
 
 
 def _stored(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return read_table(spark, f"{rollups_of(spark, sf_dir)}/{table}")
+    return rollup_table(spark, rollups_of(spark, sf_dir), table)
+
+
+def stored_slices_query(kind: str) -> Query:
+    """The slices that the stored states gave: sums of cells and bits of day maps."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _counted_slices(_stored(spark, sf_dir, f"slices_{ROLLUP_TABLES[kind]}"))
+
+    return query
+
+
+def _counted_slices(slices: DataFrame) -> DataFrame:
+    return slices.withColumn("count", F.coalesce("count", F.lit(0)).cast("bigint"))
+
+
+def _grown_rollups(spark: SparkSession, sf_dir: str) -> str:
+    """Rollups of all orders from two exports, of which the second adds to a year of the first."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}#grown")
+    if key not in _ROLLUPS:
+        out = new_work_dir_for(spark, sf_dir, "rollups")
+        entries, cut = order_entries(spark, sf_dir), F.lit(SECOND_EXPORT).cast("timestamp")
+        build_rollups(spark, entries.filter(F.col("start") < cut), out)
+        add_entries(spark, entries.filter(F.col("start") >= cut), out, batch="second")
+        _ROLLUPS[key] = out
+    return _ROLLUPS[key]
+
+
+def grown_slices_query(kind: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        name = f"slices_{ROLLUP_TABLES[kind]}"
+        return _counted_slices(rollup_table(spark, _grown_rollups(spark, sf_dir), name))
+
+    return query
+
+
+def grown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rollup_table(spark, _grown_rollups(spark, sf_dir), "totalsGrouped")
+    return rows.withColumn("types", _joined("types")).select(
+        "project", "description", "types", "histType", "hist"
+    )
+
+
+def grown_table_query(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = rollup_table(spark, _grown_rollups(spark, sf_dir), name)
+        return rows.drop("project", "description", "tag")
+
+    return query
 
 
 def hist_json_query(kind: str) -> Query:
@@ -284,7 +358,7 @@ def rollup_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second job end to end: all rollup tables written, one read back."""
     out = new_work_dir_for(spark, sf_dir, "rollups")
     build_rollups(spark, order_entries(spark, sf_dir), out)
-    rows = read_table(spark, f"{out}/totalsGrouped").withColumn("types", _joined("types"))
+    rows = rollup_table(spark, out, "totalsGrouped").withColumn("types", _joined("types"))
     return rows.select("project", "description", "types", "histType", "hist")
 
 
@@ -479,22 +553,37 @@ def quality_violations_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the tables: entries and their hours are sums over the base cells."""
-    base = _stored(spark, sf_dir, "base").agg(F.sum("starts").alias("raw"), F.sum("n").alias("houred"))
-    counted = base.select(F.expr("stack(2, 'raw', raw, 'houred', houred) AS (table, rows)"))
-    for table in ("totals", "totalsTime"):
-        rows = _stored(spark, sf_dir, table).agg(F.count(F.lit(1)).alias("rows"))
-        counted = counted.unionByName(rows.select(F.lit(table).alias("table"), "rows"))
-    return counted
+    entries = order_entries(spark, sf_dir)
+    tables = {"raw": entries, "houred": hour_fanout(entries)}
+    tables |= {name: _stored(spark, sf_dir, name) for name in ("totals", "totalsTime")}
+    return row_counts(tables)
 
 
 def written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows observed while writing against rows found in the table."""
+    """Rows and content observed while writing against those found in the table."""
     out = new_work_dir_for(spark, sf_dir, "raw")
     written = write_table(order_entries(spark, sf_dir), out)
     check_written(spark, out, written)
-    found = read_table(spark, out).agg(F.count(F.lit(1)).alias("found"))
-    return found.select(F.lit(written).cast("bigint").alias("written"), "found")
+    rows = read_table(spark, out)
+    same = row_content(rows).cast("string") == F.lit(str(written.content))
+    return rows.agg(F.count(F.lit(1)).alias("found"), same.alias("same_content")).select(
+        F.lit(written.rows).cast("bigint").alias("written"), "found", "same_content"
+    )
+
+
+def written_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checks say of a table that lost an entry and has another one twice."""
+    out, damaged = new_work_dir_for(spark, sf_dir, "raw"), new_work_dir(spark, "damaged")
+    written = write_table(order_entries(spark, sf_dir), out)
+    rows = read_table(spark, out)
+    least = rows.agg(F.min("entry_id")).scalar()
+    most = rows.agg(F.max("entry_id")).scalar()
+    times = F.when(F.col("entry_id") == most, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    kept = rows.filter(F.col("entry_id") != least).withColumn("_time", times)
+    write_table(kept.withColumn("_time", F.explode("_time")).select(*rows.columns), damaged)
+    found = [("sound", found_rows(rows)), ("damaged", found_rows(read_table(spark, damaged)))]
+    cases = [(name, f.rows, f.rows == written.rows, f.content == written.content) for name, f in found]
+    return spark.createDataFrame(cases, "table string, rows bigint, same_rows boolean, same_content boolean")
 
 
 def page_query(kind: str, slice_type: str) -> Query:
@@ -552,6 +641,7 @@ def queries() -> dict[str, Query]:
         "entry_table": entry_table,
         "hour_fanout": hour_fanout_query,
         "hour_fanout_events": hour_fanout_events,
+        "hour_fanout_local": hour_fanout_local,
         "explode_tags": explode_tags_query,
         "distinct_tags_group": distinct_tags_query(["project", "description"]),
         "distinct_tags_project": distinct_tags_query(["project"]),
@@ -586,6 +676,10 @@ def queries() -> dict[str, Query]:
         "quality_violations_seeded": quality_violations_seeded,
         "row_counts": row_counts_query,
         "written_counts": written_counts,
+        "written_faults": written_faults,
+        "grown_documents": grown_documents,
+        "grown_totals": grown_table_query("totals"),
+        "grown_time_totals": grown_table_query("totalsTime"),
         "page_live_g3_group": live_page_query,
         "page_live_tag_events": events_tag_page,
         "page_g8_heatmap": page_heatmap,
@@ -593,6 +687,8 @@ def queries() -> dict[str, Query]:
     }
     for kind in KEYS:
         found[f"all_slices_{kind}"] = all_slices_query(kind)
+        found[f"stored_slices_{kind}"] = stored_slices_query(kind)
+        found[f"grown_slices_{kind}"] = grown_slices_query(kind)
         found[f"hist_json_{kind}"] = hist_json_query(kind)
         for slice_type in SLICES:
             found[f"hist_{kind}_{slice_type}"] = slice_query(kind, slice_type)
