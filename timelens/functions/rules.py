@@ -16,6 +16,7 @@ from timelens.fixed_values import (
     NO_TAG,
     PROJECT_TAG_RULES,
 )
+from timelens.functions.rule_index import INDEXED_FROM, constant_texts, pair_lookup, words_found
 
 
 class Rules(NamedTuple):
@@ -40,8 +41,11 @@ def clean_description(
 ) -> Column:
     """Replace the description of exactly matching (project, description) pairs.
 
-    The rule list is configuration, so it stays an expression: no join.
+    The rule list is configuration, so it stays an expression: no join. The first of
+    several rules for a pair counts. A long list becomes a table that is looked up.
     """
+    if len(fixes) >= INDEXED_FROM:
+        return F.coalesce(pair_lookup(project, description, fixes), description)
     fixed = None
     for rule_project, rule_description, replacement in fixes:
         hit = (project == rule_project) & (description == rule_description)
@@ -64,9 +68,14 @@ def folded(text: Column) -> Column:
     return F.lower(text)
 
 
+def _is_plain(pattern: str) -> bool:
+    """Alternatives of plain words, which need no regular expression."""
+    return re.fullmatch(r"[a-z0-9 |]+", pattern) is not None
+
+
 def _matches(text: Column, low: Column, pattern: str) -> Column:
-    """Case-insensitive test; alternatives of plain words need no regular expression."""
-    if not re.fullmatch(r"[a-z0-9 |]+", pattern):
+    """Case-insensitive test of one pattern."""
+    if not _is_plain(pattern):
         return text.rlike(f"(?i){pattern}")
     found = None
     for word in pattern.split("|"):
@@ -75,6 +84,22 @@ def _matches(text: Column, low: Column, pattern: str) -> Column:
     return found
 
 
+def _indexed_tags(tested: Sequence[tuple[tuple[Column, Column], tuple[str, str]]]) -> Column:
+    """The same tags from tables of words, one for each text; other patterns by themselves."""
+    found, by_text = [], {}
+    for number, (text, (_, pattern)) in enumerate(tested):
+        if _is_plain(pattern):
+            words = by_text.setdefault(id(text), (text, []))[1]
+            words += [(word, number) for word in pattern.split("|")]
+        else:
+            found.append(F.when(_matches(*text, pattern), F.lit(number)))
+    hits = [words_found(low, words) for (_, low), words in by_text.values()]
+    if found:
+        hits.append(F.array_compact(F.array(*found)))
+    names = constant_texts([tag for _, (tag, _) in tested])
+    return F.array_distinct(F.transform(F.array_sort(F.concat(*hits)), lambda n: F.get(names, n)))
+
+
 def matching_tags(
     project: tuple[Column, Column],
     description: tuple[Column, Column],
@@ -83,10 +108,12 @@ def matching_tags(
 ) -> Column:
     """Tags of all matching rules in rule order, each once; empty if none match.
 
-    Both texts come with their folded form.
+    Both texts come with their folded form. Long lists are looked up in tables.
     """
     tested = [(project, rule) for rule in project_rules]
     tested += [(description, rule) for rule in description_rules]
+    if len(tested) >= INDEXED_FROM:
+        return _indexed_tags(tested)
     hits = [F.when(_matches(*text, pattern), F.lit(tag)) for text, (tag, pattern) in tested]
     if not hits:
         return F.array().cast("array<string>")

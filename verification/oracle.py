@@ -26,6 +26,7 @@ from verification.registry import (
     NESTED_SLICES,
     OWN_RULES,
     PAGES,
+    SYLLABLES,
     TAG_MONTH,
     TAG_YEAR,
 )
@@ -680,6 +681,9 @@ def oracle_sql() -> dict[str, str]:
             _tagging("documents", "source", "text"),
         ),
         "tag_documents_own_rules": _own_rules(),
+        "tag_documents_many_rules": f"""SELECT doc_id, coalesce(nullif(array_to_string(list_transform(
+  list_filter({_list(SYLLABLES)}, lambda w: contains(lower(text), w)), lambda w: 'has ' || w), ','), ''), 'NONE') AS tags
+FROM documents""",
         "text_forms": _with(
             "SELECT entry_id, CAST(to_json(types) AS VARCHAR) AS tags_json, "
             "CAST(len(types) AS BIGINT) AS tag_count, "

@@ -89,6 +89,14 @@ OWN_RULES = Rules(
     no_tag="PLAIN",
 )
 
+# A rule for every syllable of these letters: a list that is long enough for tables.
+SYLLABLES = tuple(a + b + c for a in "bcdlmnprt" for b in "aeiou" for c in "bcdlmnprt")
+MANY_RULES = Rules(
+    project_tags=(),
+    description_tags=tuple((f"has {syllable}", syllable) for syllable in SYLLABLES),
+    no_tag="NONE",
+)
+
 _ROLLUPS: dict[tuple[str, str], str] = {}
 
 
@@ -146,6 +154,12 @@ def tag_documents_own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tag_documents_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents tagged by hundreds of rules, looked up in one table of words."""
+    tagged = tag_entries(document_texts(spark, sf_dir), MANY_RULES)
+    return tagged.select("doc_id", _joined("type").alias("tags"))
+
+
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags and instants in their text forms, tags read back once."""
     rows = order_entries(spark, sf_dir).withColumn("tags_json", encode_tags(F.col("type")))
@@ -397,7 +411,7 @@ def series_query(kind: str, slice_type: str, **options) -> Query:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         series, axis = chart_series(
-            stored_slice(spark, rollups_of(spark, sf_dir), kind, slice_type),
+            stored_slice(spark, rollups_of(spark, sf_dir), kind, slice_type, **_chart_options(slice_type)),
             kind,
             slice_type,
             tags=TAGS,
@@ -636,6 +650,7 @@ def queries() -> dict[str, Query]:
         "tag_entries": tag_entries_query,
         "tag_documents": tag_documents,
         "tag_documents_own_rules": tag_documents_own_rules,
+        "tag_documents_many_rules": tag_documents_many_rules,
         "text_forms": text_forms,
         "csv_roundtrip": csv_roundtrip,
         "entry_table": entry_table,
