@@ -40,6 +40,8 @@ def chosen() -> list[str]:
         "nested_maps_": ("nested_maps_dayMonthYearCount",),
         "quality_": ("quality_violations_events", "quality_violations_seeded"),
         "all_slices_": ("all_slices_group", "all_slices_tag"),
+        "stored_slices_": ("stored_slices_tag",),
+        "grown_slices_": ("grown_slices_group", "grown_slices_tag"),
         "rollup_tables": (),
         "calendar_heatmap": (),
         "top_": ("top_total_per_type",),
