@@ -199,8 +199,8 @@ SELECT page_id, size::bigint AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     ((('0x' || substr(hx, (1 + 5 * (k // 4))::bigint, 5))::int >> (15 - 5 * (k % 4))::int) & 31) + 1, 1)), '')
     AS payload_digest,
-  CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id = last_id THEN NULL ELSE last_id END AS refers_to
+  CASE WHEN last_id IS NULL OR page_id IS NOT DISTINCT FROM last_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM last_id THEN NULL ELSE last_id END AS refers_to
 FROM d
 """
 

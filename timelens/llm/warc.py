@@ -12,8 +12,9 @@ counted. Paths may be in any file system that Arrow can open.
 
 Empty tables give no archives and empty results. Null payloads are empty ones, null
 urls empty texts. Rows that share page_id and payload are archived each, as responses
-or revisits of their page_id; a null page_id is written as an empty one and read back
-as null. Other columns are ignored.
+if theirs is the largest page_id of the payload, else as revisits. A null page_id is
+smaller than all others; it is written as an empty one and read back as null. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +32,12 @@ from pyspark.sql import functions as F
 
 from timelens.llm.tables import settle
 
-#: Payload bytes that one archive is meant to hold.
+#: Bytes of payloads, urls and headers that one archive is meant to hold.
 ARCHIVE = 16_000_000
+#: Bytes of a record besides its payload and url, about.
+HEADER = 400
+#: Tasks that archives are read in, at most.
+MOST_TASKS = 20_000
 #: Bytes of records that a dictionary is built from, and its own size.
 SAMPLE, DICTIONARY = 2_000_000, 65_536
 LEVEL = 3
@@ -105,6 +110,7 @@ class ArchiveWriter:
 
     def __init__(self, path: str) -> None:
         self.system, self.path = fs.FileSystem.from_uri(path)
+        self.system.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.trial = f"{self.path}.{uuid.uuid4().hex}.tmp"
         self.out = self.system.open_output_stream(self.trial, compression=None)
         self.waiting: list[bytes] = []
@@ -162,10 +168,16 @@ def read_archive(path: str, step: int = 1 << 20) -> Iterator[bytes]:
 
 
 def _revisits(pages: DataFrame, least: int) -> DataFrame:
-    """Every page with its payload's digest and the page that its payload is archived with."""
+    """Every page with its payload's digest and the page that its payload is archived with.
+
+    A null page_id is no largest one: such a page revisits any page with an id. Where no
+    page of a payload has an id, and where the largest id has several rows, each of
+    these is a response.
+    """
     payload = F.coalesce("html", F.lit(""))
     hashed = pages.select(
         "page_id",
+        F.monotonically_increasing_id().alias("row"),
         F.coalesce("url", F.lit("")).alias("url"),
         payload.alias("html"),
         F.unhex(F.sha1(payload)).alias("digest"),
@@ -181,9 +193,10 @@ def _revisits(pages: DataFrame, least: int) -> DataFrame:
         "responses",
     )
     same = (F.col("digest") == F.col("of")) & (F.col("size") == F.col("of_size"))
-    again = F.col("page_id") != F.col("response")
+    again = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     return hashed.join(firsts, same, "left").select(
         "page_id",
+        "row",
         "url",
         "html",
         "digest",
@@ -196,12 +209,15 @@ def _revisits(pages: DataFrame, least: int) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """Archive all pages below ``path``; returns the path and records of every archive.
 
-    Writes when called. Pages are dealt by a hash, so archives are about equally large.
+    Writes when called. Rows are dealt by a hash of their number, so archives are about
+    equally large, whatever pages are empty or repeated. Headers count like payloads.
     """
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    none = F.lit(0)
+    record_bytes = HEADER + F.coalesce(F.octet_length("url"), none) + F.coalesce(F.octet_length("html"), none)
+    total = pages.agg(F.sum(record_bytes)).first()[0] or 0
     archives = max(1, -(-total // archive_bytes))
     rows = _revisits(pages, least_revisit)
-    dealt = F.pmod(F.xxhash64("page_id", "url", F.lit("archive")), F.lit(archives))
+    dealt = F.pmod(F.xxhash64("page_id", "row", F.lit("archive")), F.lit(archives))
     rows = rows.withColumn("archive", dealt).repartition("archive").sortWithinPartitions("archive", "page_id")
     columns = ["archive", "page_id", "url", "html", "digest", "record_type", "refers_to"]
 
@@ -277,8 +293,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield made(rows)
 
-    # A task for every few archives; a row here stands for a file.
-    dealt = archives.select("path", "records").repartition("path")
+    # A row here stands for a file, so rows are dealt to as many tasks as there are
+    # files; partitions of a few bytes would else be merged into one.
+    tasks = min(max(archives.count(), 1), MOST_TASKS)
+    dealt = archives.select("path", "records").repartition(tasks)
     return dealt.mapInArrow(run, schema)
 
 
