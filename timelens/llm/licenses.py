@@ -114,22 +114,34 @@ def _met(words: Words, text: int, template: Template, order: np.ndarray, places:
 
     ``order`` is the template's words by frequency, ``places`` the words of the text
     that are among them. Of blocks that hold the same template words, the one that
-    begins with the first of them is counted.
+    begins with the first of them is counted. All blocks are looked at together, one
+    place after the other, so the work is the text's places times a notice's length.
     """
     size, lo, hi = len(order), words.first[text], words.first[text + 1]
     if hi - lo < template.needed:  # length filter
         return 0.0
     rank = np.argsort(order, kind="stable")
     ranks = rank[np.searchsorted(order[rank], words.hashes[places])]
-    best = 0
-    for k in np.flatnonzero(ranks <= size - template.needed):  # prefix filter
-        around = np.flatnonzero((places > places[k] - template.length) & (places <= places[k]))
-        for begin in around:
-            inside = ranks[(places >= places[begin]) & (places < places[begin] + template.length)]
-            rarest = inside.min()
-            if size - rarest < max(template.needed, best):  # positional filter
-                continue
-            best = max(best, len(np.unique(inside)))
+    ends = np.searchsorted(places, places + template.length)
+    rare = np.concatenate([[0], np.cumsum(ranks <= size - template.needed)])
+    begins = np.flatnonzero(rare[ends] > rare[:-1])  # prefix filter
+    rarest, steps = np.full(len(begins), size), range(int((ends - np.arange(len(ends))).max()))
+    for step in steps:
+        here = begins + step
+        inside = here < ends[begins]
+        rarest[inside] = np.minimum(rarest[inside], ranks[here[inside]])
+    begins = begins[size - rarest >= template.needed]  # positional filter
+    # A word counts at its first place in a block: the one before it lies before the block.
+    before = np.full(len(ranks), -1)
+    sorted_places = np.argsort(ranks, kind="stable")
+    again = np.flatnonzero(ranks[sorted_places[1:]] == ranks[sorted_places[:-1]])
+    before[sorted_places[again + 1]] = sorted_places[again]
+    counts = np.zeros(len(begins), np.int64)
+    for step in steps:
+        here = begins + step
+        inside = here < ends[begins]
+        counts[inside] += before[here[inside]] < begins[inside]
+    best = int(counts.max(initial=0))
     return best / size if best >= template.needed else 0.0
 
 
