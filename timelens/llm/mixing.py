@@ -24,15 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from timelens.llm.tables import blank_words, key_text, near, settle, unit_draw
+from timelens.llm.tables import CHUNK, blank_words, key_text, near, numbered_copies, settle, unit_draw
 
 #: Weights at the start, the middle and the end; sources take them in turn.
 #: Their integrals are 5, 2 and 1.
 SCHEDULES = ((6.0, 5.0, 4.0), (2.0, 2.0, 2.0), (0.5, 1.0, 1.5))
 SHARE = 1.5
 MOST_REPEATS = 2.0
-#: Copies of one row that a task writes, at most.
-CHUNK = 1000
 
 
 def areas(schedule: Sequence[float]) -> list[float]:
@@ -177,10 +175,10 @@ def place_documents(
     ``positions`` holds a time for each copy that the mix takes. Writes a narrow
     intermediate table when called.
     """
-    placed = _starts(_sizes(docs), schedules, share, most_repeats)
-    row = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1))
+    sizes = settle(_sizes(docs), "alike")
+    placed = _starts(sizes, schedules, share, most_repeats)
     start = F.col("start") + F.col("row") * F.col("size")
-    return placed.withColumn("row", row).select(
+    return numbered_copies(placed, sizes, "rows", "row", KEY).select(
         "doc_id", "source", "size", "source_size", "target",
         _positions(start, schedules, most_repeats).alias("positions"),
     )

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from timelens.llm.tables import key_text, settle, unit_draw
+from timelens.llm.tables import key_text, numbered_copies, settle, unit_draw
 
 WEIGHTS = (1.0,) * 8
 GROWN_BY = 1.0
@@ -47,7 +47,8 @@ def with_slots(records: DataFrame, order: Sequence[str]) -> DataFrame:
 
     ``records`` has a ``shard`` and a ``copies`` column; rows are unique in ``order``.
     Each shard is cut into about the square root of its rows many slices by hash, so
-    neither the rows of a slice nor the slices of a shard become a large group.
+    neither the rows of a slice nor the slices of a shard become a large group. A row
+    of many copies is dealt out before its copies are made.
     """
     n = records.count()
     slices = max(1, math.isqrt(max(1, n // max(1, len(WEIGHTS)))))
@@ -64,10 +65,8 @@ def with_slots(records: DataFrame, order: Sequence[str]) -> DataFrame:
     placed = cut.withColumn("inside", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(
         offsets, ["shard", "slice"]
     )
-    copy = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1))
-    return placed.withColumn("copy", copy).withColumn(
-        "slot", F.col("offset") + F.col("inside") + F.col("copy")
-    )
+    copied = numbered_copies(placed, records, "copies", "copy", order)
+    return copied.withColumn("slot", F.col("offset") + F.col("inside") + F.col("copy"))
 
 
 def shard_documents(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, removed when the session's JVM ends.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; where that is unset
-    it lies below the warehouse, which executors share as well.
+    The folder is the one that ``spark.checkpoint.dir`` names, else the one that the
+    caller has set with ``setCheckpointDir``; where both are unset it lies below the
+    warehouse, which executors share as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,6 +49,14 @@ def settle(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def discard(rows: DataFrame) -> None:
+    """Remove a settled table whose rows no later step reads."""
+    spark = rows.sparkSession
+    for folder in {name.rpartition("/")[0] for name in rows.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Slots of the filter that ``near`` sends to all tasks.
 SLOTS = 1 << 20
 
@@ -67,6 +77,28 @@ def near(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return marked.join(taken, F.col("_of_slot") == F.col("_slot"), "left_semi").drop("_of_slot")
 
 
+#: Copies of one row that are made in one task, at most.
+CHUNK = 1000
+
+
+def numbered_copies(rows: DataFrame, stored: DataFrame, copies: str, number: str, key: Sequence[str]) -> DataFrame:
+    """Every row ``copies`` times, with ``number`` from 0.
+
+    A row of many copies is cut into chunks, which are dealt to other tasks before the
+    copies are made. ``stored`` is a table that has the same numbers of copies: whether
+    there is such a row at all is looked up there, and usually there is none.
+    """
+    zero, last = F.lit(0).cast("bigint"), F.col(copies) - 1
+    few = rows.filter(F.col(copies) <= CHUNK).withColumn(number, F.explode(F.sequence(zero, last)))
+    if stored.filter(F.col(copies) > CHUNK).isEmpty():
+        return few
+    chunks = F.explode(F.sequence(zero, F.floor(last / CHUNK)))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = rows.filter(F.col(copies) > CHUNK).withColumn("_chunk", chunks).repartition(parts, *key, "_chunk")
+    inside = F.sequence(F.col("_chunk") * CHUNK, F.least(last, (F.col("_chunk") + 1) * CHUNK - 1))
+    return few.unionByName(many.withColumn(number, F.explode(inside)).drop("_chunk"))
+
+
 def blank_words(text: Column) -> Column:
     """Words between blanks, unchanged; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANK_CHARACTERS))
