@@ -176,8 +176,15 @@ def _names_of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, fp, start) of every window whose certain names are all shared."""
+    """(hash, fp, start) of every window whose certain names are all shared.
+
+    Rows that repeat a document have one text, and a task takes the first of them.
+    """
+    seen: set[int] = set()
     for batch in batches:
+        new = {fp: i for i, fp in reversed(list(enumerate(batch.column("fp").to_pylist()))) if fp not in seen}
+        seen.update(new)
+        batch = batch.take(pa.array(sorted(new.values()), pa.int64()))
         fps, shared = batch.column("fp").to_numpy(), batch.column("names")
         for piece in pieces(batch.column("text")):
             known = shared.slice(piece.lo, piece.hi - piece.lo).flatten().to_numpy().view(np.uint64)
@@ -255,7 +262,9 @@ def repeated_windows(docs: DataFrame, classes: DataFrame) -> DataFrame:
     chosen = settle(chosen, "chosen").alias("c")
     same = (F.col("d.fp") == F.col("c.fp")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id"))
     texts = rows.alias("d").join(chosen, same).select("d.fp", "c.names", "d.text")
-    windows = settle(texts.mapInArrow(_candidates, "hash long, fp long, start int"), "windows")
+    windows = texts.mapInArrow(_candidates, "hash long, fp long, start int")
+    # Of rows that repeat a document each task still has one.
+    windows = settle(windows.repartition("hash").distinct(), "windows")
     twice = settle(
         windows.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("hash"), "twice"
     )
