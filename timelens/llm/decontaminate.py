@@ -3,10 +3,10 @@
 Texts are cut into words and runs of ``GRAM`` words hashed. Of every ``WINDOW -
 GRAM + 1`` consecutive hashes the smallest is kept, so two texts that share
 ``WINDOW`` words share a kept hash, whatever stands around them. Documents and
-benchmark are joined on kept hashes. In the documents that meet, hits are extended:
-all runs that the benchmark has are placed on diagonals (document place less item
-place), and consecutive places that make up ``WINDOW`` words or more are hit. Items
-of fewer words are one window each and are joined by the hash of the whole item.
+benchmark are joined on kept hashes. In the documents that meet, whole windows that
+the benchmark has are placed on diagonals (document place less item place), and
+windows at consecutive places extend a hit to one span. Items of fewer words are one
+window each and are joined by the hash of the whole item.
 
 Empty tables, null and empty texts have no words, no items and no hits. Null item ids
 count as the empty text; items repeated under one id count once. A document is its
@@ -98,8 +98,8 @@ def hit_spans(docs: DataFrame, kept: DataFrame, benchmark: DataFrame) -> DataFra
     lengths = sorted(r.n for r in items.filter(F.col("n") < WINDOW).select("n").distinct().collect())
     long_items = items.filter(F.col("n") >= WINDOW)
     prints = _winnowed(long_items).select(F.explode_outer("kept").alias("hash")).distinct()
-    runs = add_runs(long_items, GRAM, joined, "h").select(
-        "item", "wording", "n", F.lit(GRAM).alias("size"), F.posexplode_outer(f"h{GRAM}").alias("item_place", "hash")
+    runs = add_runs(long_items, WINDOW, joined, "h").select(
+        "item", "wording", "n", F.lit(WINDOW).alias("size"), F.posexplode_outer(f"h{WINDOW}").alias("item_place", "hash")
     )
     for n in lengths:
         whole = add_runs(items.filter(F.col("n") == n), n, joined, "h").select(
@@ -117,12 +117,13 @@ def hit_spans(docs: DataFrame, kept: DataFrame, benchmark: DataFrame) -> DataFra
         met = met.unionByName(_meeting(searched, sought, settle(whole, "wholes")))
     met = settle(met.distinct(), "met")
 
-    # Only documents that share a kept hash are looked at place by place.
+    # Only documents that share a kept hash are looked at place by place. Whole windows
+    # are compared there: documents and items that share a shorter run meet nowhere.
     near = _identified(docs).alias("d").join(met.alias("m"), _same_document("d", "m"), "left_semi")
     near = _hashed(near)
-    for n in {GRAM, *lengths}:
+    for n in {WINDOW, *lengths}:
         near = add_runs(near, n, joined, "h")
-    placed = F.concat(*[_with_places(n) for n in sorted({GRAM, *lengths})])
+    placed = F.concat(*[_with_places(n) for n in sorted({WINDOW, *lengths})])
     matched = (
         near.select(*DOCUMENT, F.explode_outer(placed).alias("run"))
         .select(*DOCUMENT, "run.*")
@@ -139,8 +140,7 @@ def hit_spans(docs: DataFrame, kept: DataFrame, benchmark: DataFrame) -> DataFra
         .withColumn("diagonal", F.col("place") - F.col("item_place"))
         .withColumn("island", F.col("place") - F.dense_rank().over(along))
         .groupBy(*diagonal, "island")
-        .agg(F.min("place").alias("lo"), (F.max("place") + GRAM - 1).alias("hi"))
-        .filter(F.col("hi") - F.col("lo") + 1 >= WINDOW)
+        .agg(F.min("place").alias("lo"), (F.max("place") + WINDOW - 1).alias("hi"))
         .select(*DOCUMENT, "item", "lo", "hi")
     )
     return long.unionByName(short) if lengths else long
