@@ -40,9 +40,10 @@ SCALE = 2_000_000
 #: Bits of the table of locally frequent phrases.
 SLOTS_LOG2 = 26
 #: Phrases that a task holds before it counts them and sends them on.
-HELD = 1 << 22
-#: Bytes of text for each bucket, and the fewest buckets.
-BUCKET_BYTES, BUCKETS_LOG2 = 1 << 23, 8
+HELD = 1 << 20
+#: Bytes of text for each bucket, and the fewest buckets. A row of a bucket is then
+#: about a kilobyte, and a batch of rows some megabytes.
+BUCKET_BYTES, BUCKETS_LOG2 = 1 << 23, 11
 
 _IN_WORDS = _classes(lambda b: b not in b" \t.,;:!?\n\x0b\x0c\r")
 _ENDS_PIECE = _classes(lambda b: b in b".,;:!?\n\x0b\x0c\r")
@@ -243,9 +244,14 @@ def locally_frequent(docs: DataFrame, support: int = SUPPORT, shards: int = SHAR
     # All buckets of a block go to one task, which takes them one by one.
     buckets_of_block = max(0, _BLOCK_LOG2 - (SLOTS_LOG2 - buckets_log2))
     met = mined.repartition(parts, F.shiftright("bucket", buckets_of_block)).sortWithinPartitions("bucket")
-    slots = met.mapInArrow(_uniting(buckets_log2, supports), "base long, slots binary")
-    blocks = slots.mapInArrow(_blocks, "block long, bits binary")
-    return _united((r.block, bytes(r.bits)) for r in blocks.collect())
+    unite = _uniting(buckets_log2, supports)
+
+    # Both steps in one call: two would take two Python workers for every task.
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _blocks(unite(batches))
+
+    found = met.mapInArrow(blocks, "block long, bits binary").collect()
+    return _united((r.block, bytes(r.bits)) for r in found)
 
 
 def _dealt(docs: DataFrame, shards: int) -> DataFrame:
@@ -268,65 +274,92 @@ def _spaced(piece: Piece, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])
 
 
+class _Found:
+    """Phrases of a task: their hashes, counts and places in the words kept of its texts."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[np.ndarray, ...]] = []
+        self.texts: list[np.ndarray] = []
+        self.size = self.end = 0
+
+    def add_text(self, data: np.ndarray) -> int:
+        """Where the text begins among all that are kept."""
+        self.texts.append(data)
+        self.end += len(data)
+        return self.end - len(data)
+
+    def add(self, keys, times, lo, lengths, langs, size: int) -> None:
+        numbers = [np.asarray(v, np.int32) for v in (times, lo, lengths, langs)]
+        self.rows.append((keys, *numbers, np.full(len(keys), size, np.int8)))
+        self.size += len(keys)
+
+    def rows_of_counts(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """Every phrase once with its count."""
+        if not self.rows:
+            return
+        parts = [list(c) for c in zip(*self.rows)]
+        self.rows.clear()
+        # One column after the other, so that there are no two of the whole.
+        keys, times, lo, lengths, langs, sizes = (np.concatenate(parts.pop(0)) for _ in range(len(parts)))
+        data = np.concatenate(self.texts)
+        self.texts.clear()
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        sums = np.add.reduceat(times[order], first, dtype=np.int64)
+        one = order[first]
+        for a in range(0, len(one), 8192):
+            own = one[a : a + 8192]
+            ends = np.concatenate([[0], np.cumsum(lengths[own], dtype=np.int64)])
+            at = np.repeat(lo[own] - ends[:-1], lengths[own]) + np.arange(ends[-1])
+            texts = pa.LargeStringArray.from_buffers(len(own), pa.py_buffer(ends), pa.py_buffer(data[at]))
+            langs_of = pa.array(names, pa.string()).take(pa.array(langs[own]))
+            yield _count_rows(langs_of, texts.cast(pa.string()), sizes[own].astype(np.int32), sums[a : a + 8192])
+
+
 def _counting(table: np.ndarray, held: int) -> Callable:
     """A task's counts (lang, phrase, words, n) of phrases whose bit is set.
 
     The row of a language without a phrase has the number of all its words. About
-    ``held`` distinct phrases are in memory at most, besides those of one text.
+    ``held`` places of phrases are in memory at most, besides those of one text.
     """
     shift = np.uint64(64 - SLOTS_LOG2)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, int] = {}
-        known = np.zeros(0, np.uint64)
-        named: list[tuple[int, str, bytes, int]] = []
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def send() -> Iterator[pa.RecordBatch]:
-            """Known phrases with their counts; both are put in the order of the hashes."""
-            keys = np.concatenate([k for k, _ in found])
-            times = np.concatenate([n for _, n in found])
-            order = np.argsort(keys, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-            sums = np.add.reduceat(times[order], first)
-            named.sort()
-            for lo in range(0, len(named), 8192):
-                rows = named[lo : lo + 8192]
-                yield _count_rows(*zip(*(r[1:] for r in rows)), sums[lo : lo + 8192])
-
+        found = _Found()
         for batch in batches:
             langs = ["und" if lang is None else lang for lang in batch.column("lang").to_pylist()]
             seeds = _seeds(langs)
+            for lang in langs:
+                totals.setdefault(lang, 0)
+            names = list(totals)
+            number = {name: i for i, name in enumerate(names)}
+            numbers = np.array([number[lang] for lang in langs], np.int32)
             for piece in pieces(batch.column("text")):
-                spaced = None
+                begin = moved = None
                 for words, hashes, at, size in _phrases(piece, seeds[piece.lo : piece.hi]):
                     if size == 1:
                         for lang, n in zip(langs[piece.lo : piece.hi], words.counts().tolist()):
-                            totals[lang] = totals.get(lang, 0) + n
+                            totals[lang] += n
                     slot = (hashes >> shift).astype(np.int64)
                     passed = np.flatnonzero((table[slot >> 3] << (slot & 7).astype(np.uint8)) & 128)
                     if not len(passed):
                         continue
-                    keys, where, times = np.unique(hashes[passed], return_index=True, return_counts=True)
-                    found.append((keys, times))
-                    new = ~np.isin(keys, known, assume_unique=True)
-                    if not new.any():
-                        continue
-                    data, moved = spaced = spaced or _spaced(piece, words)
-                    starts = at[passed[where[new]]]
+                    if begin is None:
+                        data, moved = _spaced(piece, words)
+                        begin = found.add_text(data)
+                    order = passed[np.argsort(hashes[passed], kind="stable")]
+                    first = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+                    starts = at[order[first]]
                     lo, hi = moved[words.starts[starts]], moved[words.ends[starts + size - 1]]
                     owners = words.owners()[starts] + piece.lo
-                    named += [
-                        (k, langs[o], data[a:b].tobytes(), size)
-                        for k, o, a, b in zip(keys[new].tolist(), owners.tolist(), lo.tolist(), hi.tolist())
-                    ]
-                    known = np.union1d(known, keys[new])
-                if len(known) >= held or sum(len(k) for k, _ in found) >= 8 * held:
-                    yield from send()
-                    known, named, found = known[:0], [], []
-        if found:
-            yield from send()
-        yield _count_rows(list(totals), [None] * len(totals), [0] * len(totals), list(totals.values()))
+                    times = np.diff(np.append(first, len(order)))
+                    found.add(hashes[order[first]], times, begin + lo, hi - lo, numbers[owners], size)
+                if found.size >= held:
+                    yield from found.rows_of_counts(names)
+                    found = _Found()
+        yield from found.rows_of_counts(list(totals))
+        yield _count_rows(list(totals), pa.nulls(len(totals), pa.string()), [0] * len(totals), list(totals.values()))
 
     return count
 
@@ -334,8 +367,8 @@ def _counting(table: np.ndarray, held: int) -> Callable:
 def _count_rows(langs, phrases, sizes, times) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(langs, pa.string()),
-            pa.array(phrases, pa.binary()).cast(pa.string()),
+            langs if isinstance(langs, pa.Array) else pa.array(langs, pa.string()),
+            phrases,
             pa.array(sizes, pa.int32()),
             pa.array(times, pa.int64()),
         ],
@@ -343,7 +376,7 @@ def _count_rows(langs, phrases, sizes, times) -> pa.RecordBatch:
     )
 
 
-def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, held: int = 1 << 19) -> DataFrame:
+def frequent_phrases(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, held: int = HELD) -> DataFrame:
     """``lang``, ``phrase``, ``words`` and ``n`` of all phrases found ``support`` times.
 
     A row with a null phrase has the number of all words of its language. Mines the
