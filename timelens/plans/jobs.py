@@ -74,7 +74,8 @@ def add_entries(
 ) -> dict[str, int]:
     """Add entries, such as the export of one more year, to the rollups below ``out``.
 
-    The result is that of ``build_rollups`` over all entries. The stored states and
+    The result is that of ``build_rollups`` over all entries; where there are no rollups
+    yet, they are built. The stored states and
     slices of years that the new entries do not touch are neither read for it nor
     written. Slices without a year add up the stored ones of all years; histograms as
     JSON and time totals are made anew from the slices and the clock. A batch that has
