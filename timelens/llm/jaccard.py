@@ -2,8 +2,8 @@
 
 The documents are the rows and the shingles the columns of a sparse 0-1 matrix; its
 product with its own transpose has the overlaps. Only entries that can reach the
-threshold are worked out. Columns are ordered: frequent ones last, else by hash. In
-that order two linked documents share a column among their first quarter, and at the
+threshold are worked out. Columns are ordered by how often they occur, as far as a
+sketch of fixed size tells them from chance, and then by hash. In that order two linked documents share a column among their first quarter, and at the
 first one that they share the rest of each must still hold the overlap that their
 sizes ask for. The product runs column by column, for large columns in blocks of one
 band of sizes. For what is left, overlaps are bounded by accumulating the smaller of two rows' counts over
@@ -34,17 +34,19 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from timelens.llm.components import connected
-from timelens.llm.tables import near, settle
+from timelens.llm.tables import discard, near, settle
 from timelens.llm.words import BLANK_SEPARATED, Piece, gram_hashes, mix, pieces, run_hashes, split
 
 SIZE = 5
 #: Columns of more rows than this are joined through their first row before anything else.
 SMALL = 30
-#: Shingles are counted in chunks of this many; those in fewer sets of a chunk are not reported.
-CHUNK, LEAST_IN_CHUNK = 4_000_000, 4
-#: Columns known to be in more than this share of the sets come last in the order;
-#: they are at most ``MOST_FREQUENT``, the largest table that is sent to all tasks.
-FREQUENT_SHARE, MOST_FREQUENT = 1e-3, 1 << 17
+#: Cells of the table that counts columns, and of the parts it is sent in. It is the
+#: largest table that goes to all tasks, 8 MB.
+CELLS, PART = 1 << 22, 1 << 12
+#: Distinct sets that a task counts before it sends its table on; cells hold more.
+COUNTED = 60_000
+#: Columns counted so often are dealt out over several tasks.
+OFTEN = 1000
 #: Blocks of columns whose counts bound an overlap.
 BLOCKS = 512
 #: Members that are compared with one text at a time.
@@ -84,54 +86,58 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-class _Counter:
-    """Counts the shingles of distinct sets, a chunk at a time."""
+class Sketch:
+    """How often columns occur, about, in a table of fixed size.
 
-    def __init__(self) -> None:
-        self.sets: list[np.ndarray] = []
-        self.seen: set[int] = set()
-        self.n = 0
+    A column's count is at most its cell. The counts only order the columns: whatever
+    the order, the same links are found.
+    """
+
+    def __init__(self, cells: np.ndarray | None = None) -> None:
+        self.cells, self.noise = np.zeros(CELLS, np.uint16), 0
+        if cells is not None:
+            # What a cell holds by chance, and so much more that hardly any has it by chance.
+            self.cells, load = cells, float(np.median(cells))
+            self.noise = int(load + 6 * np.sqrt(load) + 1)
 
-    def add(self, identity: int, values: np.ndarray) -> bool:
-        if identity not in self.seen:
-            self.seen.add(identity)
-            self.sets.append(values)
-            self.n += len(values)
-        return self.n >= CHUNK
+    @staticmethod
+    def places(values: np.ndarray) -> np.ndarray:
+        return (values >> np.uint64(8)) & np.uint64(CELLS - 1)
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        values = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
-        found, times = np.unique(values, return_counts=True)
-        self.__init__()
-        often = times >= LEAST_IN_CHUNK
-        return found[often], times[often]
+    def add(self, values: np.ndarray) -> None:
+        np.add.at(self.cells, self.places(values), 1)
+
+    def counts(self, values: np.ndarray) -> np.ndarray:
+        """The counts of columns that stand out from chance, 0 for all others."""
+        found = self.cells[self.places(values)]
+        return np.where(found > self.noise, found, 0)
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every document, and a row for each shingle that a chunk has often."""
-    counter = _Counter()
+    """A row for every document, and the task's sketch of its distinct sets in blocks."""
+    sketch, seen = Sketch(), set()
     schema = None
 
     def rows(own: pa.RecordBatch, n: list, one: list, two: list, blocks: list) -> pa.RecordBatch:
-        none = pa.nulls(len(n), pa.int64())
         numbers = [pa.array(v, pa.int64()) for v in (n, one, two)]
+        none = pa.nulls(len(n), pa.int32())
         return pa.RecordBatch.from_arrays(
-            [own.column("doc_id"), own.column("signature"), *numbers, pa.array(blocks, pa.binary()), none, none],
+            [own.column("doc_id"), own.column("signature"), *numbers, pa.array(blocks, pa.binary()), none],
             schema=schema,
         )
 
-    def report() -> pa.RecordBatch:
-        found, times = counter.take()
-        none = pa.nulls(len(found), pa.int64())
-        ids, blocks = pa.nulls(len(found), schema.field(0).type), pa.nulls(len(found), pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [ids, none, none, none, none, blocks, _signed(found), pa.array(times.astype(np.int64))], schema=schema
-        )
+    def parts_of(sketch: Sketch) -> pa.RecordBatch:
+        # A task's counts stop at 255; the order of what is that frequent matters little.
+        data = [part.tobytes() for part in np.minimum(sketch.cells, 255).astype(np.uint8).reshape(-1, PART)]
+        nothing = [pa.nulls(len(data), field.type) for field in list(schema)[:5]]
+        numbers = pa.array(np.arange(len(data), dtype=np.int32))
+        return pa.RecordBatch.from_arrays([*nothing, pa.array(data, pa.binary()), numbers], schema=schema)
 
     for batch in batches:
         if schema is None:
-            own, counts = [[pa.field(c, pa.int64()) for c in names] for names in (("signature", "n", "fp", "again"), ("gram", "times"))]
-            schema = pa.schema([batch.schema.field("doc_id"), *own, pa.field("blocks", pa.binary()), *counts])
+            own = [pa.field(c, pa.int64()) for c in ("signature", "n", "fp", "again")]
+            described = [pa.field("blocks", pa.binary()), pa.field("part", pa.int32())]
+            schema = pa.schema([batch.schema.field("doc_id"), *own, *described])
         for piece in pieces(batch.column("text")):
             n, one, two, blocks = [], [], [], []
             for values in shingle_sets(piece):
@@ -140,11 +146,47 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n.append(len(values))
                 one.append(a)
                 two.append(b)
-                if len(values) and counter.add(a, values):
-                    yield report()
+                if len(values) and a not in seen:
+                    seen.add(a)
+                    sketch.add(values)
+            if len(seen) >= COUNTED:
+                yield parts_of(sketch)
+                sketch, seen = Sketch(), set()
             yield rows(batch.slice(piece.lo, piece.hi - piece.lo), n, one, two, blocks)
     if schema is not None:
-        yield report()
+        yield parts_of(sketch)
+
+
+def _add_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the tasks' parts of the sketch; equal parts come one after the other."""
+    current, total = None, None
+
+    def row() -> pa.RecordBatch:
+        data = np.minimum(total, 65535).astype(np.uint16).tobytes()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([current], pa.int32()), pa.array([data], pa.binary())], names=["part", "cells"]
+        )
+
+    for batch in batches:
+        for part, data in zip(batch.column("part").to_pylist(), batch.column("blocks")):
+            if part != current:
+                if current is not None:
+                    yield row()
+                current, total = part, np.zeros(PART, np.int64)
+            total += np.frombuffer(data.as_buffer(), np.uint8)
+    if current is not None:
+        yield row()
+
+
+def whole_sketch(profile: DataFrame) -> Sketch:
+    """The sketch of all documents; its size is fixed, and so is what the driver gets."""
+    parts = int(profile.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = profile.filter("part is not null").select("part", "blocks")
+    met = given.repartition(parts, "part").sortWithinPartitions("part")
+    cells = np.zeros((CELLS // PART, PART), np.uint16)
+    for row in met.mapInArrow(_add_parts, "part int, cells binary").collect():
+        cells[row.part] = np.frombuffer(bytes(row.cells), np.uint16)
+    return Sketch(cells.reshape(CELLS))
 
 
 def prefix_length(n: int) -> int:
@@ -152,7 +194,7 @@ def prefix_length(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
-def _entries(frequent: np.ndarray):
+def _entries(sketch: Sketch):
     """The entries of the matrix that the join starts from: first columns of every set."""
 
     schema = pa.schema(
@@ -170,12 +212,10 @@ def _entries(frequent: np.ndarray):
                     if n == 0 or identity in seen:
                         continue
                     seen.add(identity)
-                    at = np.minimum(np.searchsorted(frequent, values), max(len(frequent) - 1, 0))
-                    often = frequent[at] == values if len(frequent) else np.zeros(n, bool)
-                    order = np.concatenate([np.flatnonzero(~often), np.flatnonzero(often)])
-                    order = order[: prefix_length(n)]
+                    times = sketch.counts(values)
+                    order = np.argsort(times, kind="stable")[: prefix_length(n)]
                     grams.append(values[order])
-                    oftens.append(often[order])
+                    oftens.append(times[order] >= OFTEN)
                     places.append(np.arange(len(order), dtype=np.int32))
                     fps.append(np.full(len(order), identity, np.int64))
                     sizes.append(np.full(len(order), n, np.int32))
@@ -202,7 +242,7 @@ def _can_link(a: Column, p: Column, b: Column, q: Column) -> Column:
     )
 
 
-def shared_columns(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def shared_columns(docs: DataFrame, sketch: Sketch) -> DataFrame:
     """What the columns that have two different rows or more lead to.
 
     Small columns: a row with the later rows (by size) that it may be linked to, in
@@ -210,7 +250,7 @@ def shared_columns(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     with the column's number of rows ``m`` and its first row, the ``pivot``. The rows of
     frequent columns are dealt out over several tasks and summed up afterwards.
     """
-    run, schema = _entries(frequent)
+    run, schema = _entries(sketch)
     entries = docs.select("text").mapInArrow(run, schema)
     share = F.when(F.col("often"), F.pmod(F.col("fp"), F.lit(64))).otherwise(0).alias("share")
     first = F.min(F.struct("place", "n", "fp"))
@@ -299,8 +339,12 @@ def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     of a set are brought together.
     """
     signed = docs.select("doc_id", F.xxhash64("text").alias("signature"), "text")
+    # Most copies of a text have another doc_id, so they are dropped where they are read.
+    whole = F.xxhash64("doc_id", "signature").alias("whole")
+    signed, chosen = signed.select("*", whole), chosen.select("*", whole)
     same = F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.signature") == F.col("c.signature"))
-    rows = near(signed, "signature", chosen).alias("d").join(chosen.alias("c"), same).select("c.fp", "d.text")
+    same = (F.col("d.whole") == F.col("c.whole")) & same
+    rows = near(signed, "whole", chosen).alias("d").join(chosen.alias("c"), same).select("c.fp", "d.text")
     texts = settle(rows.mapInArrow(_of_class, "fp long, text string"), "texts")
     return texts.groupBy("fp").agg(F.first("text").alias("text"))
 
@@ -312,7 +356,8 @@ def verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     ``MEMBERS`` texts that it is compared with, so no text is a large group.
     """
     pairs = settle(pairs, "candidates")
-    ends = settle(_ends(pairs).join(classes, "fp"), "ends")
+    wanted = settle(_ends(pairs), "wanted")
+    ends = settle(wanted.join(near(classes, "fp", wanted), "fp"), "ends")
     pairs = settle(within_bounds(pairs, ends), "pairs")
     chosen = settle(_ends(pairs).join(ends, "fp").select("fp", "first.doc_id", "first.signature"), "chosen")
     texts = texts_of(docs, chosen)
@@ -360,13 +405,13 @@ def _linked(docs: DataFrame) -> DataFrame:
             docs.schema["doc_id"],
             *[T.StructField(c, T.LongType()) for c in ("signature", "n", "fp", "again")],
             T.StructField("blocks", T.BinaryType()),
-            *[T.StructField(c, T.LongType()) for c in ("gram", "times")],
+            T.StructField("part", T.IntegerType()),
         ]
     )
     signed = docs.select("doc_id", F.xxhash64("text").alias("signature"), "text")
     profile = settle(signed.mapInArrow(_profile, schema), "profile")
-    described = profile.filter("gram is null")
-    rows = described.select("doc_id", "signature", "n", "fp")
+    described = profile.filter("part is null")
+    rows = settle(described.select("doc_id", "signature", "n", "fp"), "sets")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "signature")
     same = (F.min("n") == F.max("n")) & (F.min("again") == F.max("again"))
     classes = settle(
@@ -381,17 +426,9 @@ def _linked(docs: DataFrame) -> DataFrame:
         ),
         "classes",
     )
-    least = max(FREQUENT_SHARE * classes.count(), LEAST_IN_CHUNK)
-    often = (
-        profile.filter("gram is not null")
-        .groupBy("gram")
-        .agg(F.sum("times").alias("times"))
-        .filter(F.col("times") >= least)
-        .orderBy(F.desc("times"), "gram")
-        .limit(MOST_FREQUENT)
-    )
-    frequent = np.sort(np.array([r.gram for r in often.collect()], np.int64).view(np.uint64))
-    columns = settle(shared_columns(docs, frequent), "shared")
+    sketch = whole_sketch(profile)
+    discard(profile)
+    columns = settle(shared_columns(docs, sketch), "shared")
 
     small = columns.filter("partners is not null").select(F.col("fp").alias("a"), F.explode_outer("partners").alias("b"))
     columns = columns.filter("partners is null").drop("partners")
@@ -439,7 +476,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every document.
 
     Writes intermediate tables and runs jobs when called. What comes to the driver is
-    the frequent shingles, ``MOST_FREQUENT`` at most.
+    the sketch, 8 MB.
     """
     return _linked(docs).select(
         "doc_id",
