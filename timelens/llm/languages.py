@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from timelens.llm.tables import key_text
 from timelens.llm.words import mix
 
-DIMENSIONS = 2048
+DIMENSIONS = 1024
 LETTERS = 3
 #: Documents whose key has this remainder are never learned from.
 FOLDS, HELD_OUT = 3, 1
@@ -151,7 +151,7 @@ def is_held_out(key: Column) -> Column:
 def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
     """A unit vector for every language, learned from all rows that are not held out.
 
-    The driver and every task hold one vector a language, 16 KB each: languages are
+    The driver and every task hold one vector a language, 8 KB each: languages are
     the distinct values of ``lang``, which are some thousands in the whole world.
     """
     rows = docs.filter(F.col("lang").isNotNull() & ~is_held_out(F.col("doc_id"))).select("lang", "text")
