@@ -26,7 +26,7 @@ def test_query(spark, name):
 def test_everything_is_registered():
     names = set(__spark_entry__.queries())
     assert {"pipeline", *queries.queries()} <= names
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")].__len__() == 10
+    assert [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")].__len__() == 13
 
 
 def test_pipeline_by_stages(spark):
