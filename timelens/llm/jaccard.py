@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from timelens.llm.components import connected
-from timelens.llm.tables import discard, near, settle
+from timelens.llm.tables import discard, far, near, settle
 from timelens.llm.words import BLANK_SEPARATED, Piece, gram_hashes, mix, pieces, run_hashes, split
 
 SIZE = 5
@@ -499,17 +499,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id", F.col("signature").alias("_signature"))
         .agg(F.bool_or(own).alias("kept"), F.count(F.lit(1)).alias("rows"))
     )
-    others = settle(judged.filter("not kept or rows > 1").select("doc_id", "_signature", "kept"), "others")
+    whole = F.xxhash64("doc_id", "_signature").alias("_whole")
+    others = judged.filter("not kept or rows > 1").select("doc_id", "_signature", "kept", whole)
+    others = settle(others, "others")
     same = F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d._signature") == F.col("o._signature"))
-    marked = docs.withColumn("_signature", F.xxhash64("text"))
-    single = marked.alias("d").join(others.alias("o"), same, "left_anti").drop("_signature")
+    same = (F.col("d._whole") == F.col("o._whole")) & same
+    # The row travels as one column, so its columns may have any names.
+    columns = [F.col(c) for c in docs.columns]
+    marked = docs.select("doc_id", F.xxhash64("text").alias("_signature"), F.struct(*columns).alias("_row"))
+    marked = marked.select("*", whole)
+    # Most documents are told apart from the others where they are read, and stay there.
+    single = far(marked, "_whole", others).unionByName(
+        near(marked, "_whole", others).alias("d").join(others.alias("o"), same, "left_anti")
+    )
     # Repeated rows are brought down to one of each task before they are shuffled.
     again = others.filter("kept")
-    columns = [F.col(c) for c in docs.columns]
     repeated = (
-        near(marked, "_signature", again)
-        .groupBy("doc_id", "_signature")
-        .agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
+        near(marked, "_whole", again)
+        .groupBy("doc_id", "_signature", "_whole")
+        .agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     )
     one = repeated.alias("d").join(again.alias("o"), same, "left_semi")
-    return single.unionByName(one.select("_row.*"))
+    return single.select("_row.*").unionByName(one.select("_row.*"))

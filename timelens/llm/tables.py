@@ -69,12 +69,21 @@ def near(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     row for each taken slot, ``SLOTS`` at most; with many more keys than slots all
     rows pass, and none that is wanted is ever dropped.
     """
+    return _by_slot(rows, key, wanted, "left_semi")
+
+
+def far(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """All other rows than those of ``near``: none of them has a wanted key."""
+    return _by_slot(rows, key, wanted, "left_anti")
+
+
+def _by_slot(rows: DataFrame, key: str, wanted: DataFrame, how: str) -> DataFrame:
     def slot(column: str) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int")
 
     taken = F.broadcast(wanted.select(slot(key).alias("_slot")).distinct())
     marked = rows.withColumn("_of_slot", slot(key))
-    return marked.join(taken, F.col("_of_slot") == F.col("_slot"), "left_semi").drop("_of_slot")
+    return marked.join(taken, F.col("_of_slot") == F.col("_slot"), how).drop("_of_slot")
 
 
 #: Copies of one row that are made in one task, at most.
