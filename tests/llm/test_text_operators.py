@@ -424,7 +424,8 @@ def test_one_row_of_every_component_stays(spark, rows):
         (1, "", "en", "s1", 0),
     ]
     given = rows + odd
-    made = spark.createDataFrame(given, DOCUMENTS).repartition(4, "lang", "doc_id").withColumn("n", F.lit("clash"))
+    made = spark.createDataFrame(given, DOCUMENTS).repartition(4, "lang", "doc_id")
+    made = made.withColumns({c: F.lit("clash") for c in ("n", "_signature", "_whole", "_row", "kept", "_of_slot")})
     found = jaccard.keep_one(made)
     assert found.columns == made.columns
     kept = Counter(tuple(r)[:5] for r in found.collect())

@@ -180,9 +180,8 @@ def judge_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, all columns kept."""
     bad = judge_contamination(docs, benchmark).filter("contaminated").select(*DOCUMENT).distinct()
-    rows = docs.withColumn("_signature", F.xxhash64("text")).alias("d")
+    # The row travels as one column, so its columns may have any names.
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("signature"), row).alias("d")
     bad = settle(bad, "contaminated").alias("b")
-    same = F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (
-        F.col("d._signature") == F.col("b.signature")
-    )
-    return rows.join(bad, same, "left_anti").drop("_signature")
+    return rows.join(bad, _same_document("d", "b"), "left_anti").select("_row.*")
