@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +108,24 @@ def test_words_anywhere(spark, words):
         assert set(row.n) == {n for w, n in words if row.t is not None and w in row.t}
 
 
+def test_words_that_begin_other_words_and_go_on_branching(spark):
+    words = [("a" * n, n) for n in range(1, 120)] + [("é😀", 200), ("é", 201), (".b", 202), ("b]", 203)]
+    texts = ["a" * 100, "x" + "a" * 50 + "b]", "é😀.b", "😀é", "aaé" + "a" * 200, ".]", None, ""]
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select("t", words_found(F.col("t"), words).alias("n"))
+    for row in made.collect():
+        assert set(row.n) == {n for w, n in words if row.t is not None and w in row.t}
+
+
+def test_the_walk_through_a_text_is_linear(spark):
+    """A million characters: looking each place up from the start of the text takes minutes."""
+    text = "bab nod lip x" * 80_000
+    words = [(f"{a}{b}{c}", i) for i, (a, b, c) in enumerate((a, b, c) for a in "bnlx" for b in "aoi" for c in "bdpn")]
+    made = spark.createDataFrame([(text,)], "t string").select(words_found(F.col("t"), words).alias("n"))
+    began = time.time()
+    assert set(made.first().n) == {n for w, n in words if w in text}
+    assert time.time() - began < 30
+
+
 def test_constant_texts(spark):
     assert spark.range(1).select(constant_texts(ODD)).first()[0] == ODD
 
