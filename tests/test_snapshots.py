@@ -89,6 +89,41 @@ def test_partitions_that_stay_keep_their_files(spark):
     assert rows_of(table(spark, third, "t").filter("y = '1999'")) == []
 
 
+def test_clustering_samples_nothing_to_the_driver(spark, monkeypatch):
+    """Ranges would need bounds, which are sampled: so many keys for every partition."""
+    def ranges(*_):
+        raise AssertionError("rows are sampled to the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", ranges)
+    months = F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0")
+    made = spark.range(0, 6000, 1, 4).select(
+        F.lit("s").alias("k"), months.alias("m"), F.sha2(F.col("id").cast("string"), 256).alias("v")
+    )
+    hot = made.unionByName(made.withColumn("m", F.lit("04")))
+    sizes = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.shuffle.partitions": "40",
+    }
+    before = {name: spark.conf.get(name) for name in sizes}
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    try:
+        out = new_work_dir(spark, "tables")
+        tables, written = replace(snapshot(spark, out), "t", hot, ["k"], ["m", "v"])
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    stored = table(spark, tables, "t")
+    assert found_rows(stored) == written == found_rows(hot)
+    of_file = {}
+    for row in stored.select(F.input_file_name().alias("f"), "m", "v").collect():
+        of_file.setdefault(row.f, []).append((row.m, row.v))
+    assert all(rows == sorted(rows) for rows in of_file.values())
+    files_of = {m: {f for f, rows in of_file.items() if any(r[0] == m for r in rows)} for m in ("01", "04")}
+    assert len(files_of["04"]) > 1 == len(files_of["01"])  # a large month spans tasks, a small one does not
+
+
 def test_forgotten_versions_leave_the_newest_alone(spark):
     out = new_work_dir(spark, "table")
     for n in (1, 2, 3):
