@@ -266,6 +266,33 @@ def test_row_counts(spark):
     assert texts(counted, "table", "rows") == [("none", "0"), ("one", "3")]
 
 
+def test_no_task_holds_cells_of_all_keys(spark):
+    """Entries of the same cells in all of 8 partitions: each cell is made in one of them."""
+    copies = entries(spark, made_up()).crossJoin(spark.range(8)).repartition(8, "id")
+    base = rollup_base(copies)
+    cells = base.collect()
+    assert sorted(r.n for r in cells) == sorted(8 * r.n for r in rollup_base(entries(spark, made_up())).collect())
+    added = aggregated_rows(base)
+    assert len(added) == 2 and max(added) < 2 * len(cells)
+
+
+def aggregated_rows(frame):
+    """The rows that each aggregation in the plan of a frame has given."""
+
+    def found(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return found(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return found(node.plan())
+        own = [int(node.metrics().apply("numOutputRows").value())] if kind == "HashAggregateExec" else []
+        children = node.children()
+        return own + [n for i in range(children.size()) for n in found(children.apply(i))]
+
+    frame._jdf.collectToPython()
+    return found(frame._jdf.queryExecution().executedPlan())
+
+
 def test_plan_scans_once_and_shares_the_base(spark):
     rows = all_slices(rollup_base(entries(spark, ROWS)), ["project"])
     rows.collect()
