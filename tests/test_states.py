@@ -24,11 +24,13 @@ from timelens.operators.states import (
     yearless_slices,
     yearly_slices,
 )
+from timelens.operators.totals import time_totals, totals
 from timelens.plans.jobs import ROLLUP_KEYS, add_entries, build_rollups, rollup_table
-from timelens.plans.pages import histogram_page, stored_slice
+from timelens.plans.pages import histogram_page, live_heatmap_page, stored_slice
 from timelens.session import new_work_dir
 from timelens.sources import snapshots
 from timelens.sources.snapshots import snapshot
+from verification import registry
 
 
 @pytest.fixture(autouse=True)
@@ -138,6 +140,36 @@ def test_nothing_to_add(spark):
     assert before and rows_of(rollup_table(spark, out, "slices_totalsProject")) == before
 
 
+@pytest.mark.parametrize("name", ["totals", "totalsTime"])
+def test_totals_without_slices(spark, name):
+    """Built and grown alone they are what the base gives."""
+    first, second = random_entries(6, [2019, 2020]), random_entries(7, [2020, 2021])
+    alone = new_work_dir(spark, "rollups")
+    build_rollups(spark, entries(spark, first), alone, [name])
+    add_entries(spark, entries(spark, second), alone)
+    base = rollup_base(entries(spark, first + second))
+    wanted = totals(base, "started") if name == "totals" else time_totals(base)
+    assert set(snapshot(spark, alone).tables) == {name, *(["clock"] if name == "totalsTime" else [])}
+    assert rows_of(rollup_table(spark, alone, name)) == rows_of(wanted)
+
+
+def test_pages_of_totals_build_no_slices(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(registry, "order_entries", lambda spark, _: entries(spark, random_entries(9, [1999], 40)))
+    for query, page in (("heatmap_all_years", live_heatmap_page),):
+        folder = str(tmp_path / query)
+        found = registry.queries()[query](spark, folder)
+        assert found.count() == page(registry.order_entries(spark, folder)).count()
+        built = [key for key in registry._ROLLUPS if key[1].startswith(folder)]
+        tables = snapshot(spark, registry._ROLLUPS[built[0]]).tables
+        assert len(built) == 1 and not [t for t in tables if t.startswith(("slices", "cells"))]
+
+
+def test_only_known_rollups_are_built(spark):
+    for names in (["totals", "totalsWeek"], []):
+        with pytest.raises(ValueError, match="name some of"):
+            build_rollups(spark, entries(spark, ROWS), new_work_dir(spark, "rollups"), names)
+
+
 def test_month_pages_read_the_row_groups_of_their_month(spark, monkeypatch):
     monkeypatch.setattr(snapshots.replace, "__defaults__", (*snapshots.replace.__defaults__[:-1], 40))
     rng = random.Random(8)
