@@ -26,7 +26,7 @@ from timelens.operators.states import (
 )
 from timelens.operators.totals import time_totals, totals
 from timelens.plans.jobs import ROLLUP_KEYS, add_entries, build_rollups, rollup_table
-from timelens.plans.pages import histogram_page, live_heatmap_page, stored_slice
+from timelens.plans.pages import histogram_page, live_heatmap_page, live_sunburst_page, stored_slice
 from timelens.session import new_work_dir
 from timelens.sources import snapshots
 from timelens.sources.snapshots import snapshot
@@ -155,7 +155,7 @@ def test_totals_without_slices(spark, name):
 
 def test_pages_of_totals_build_no_slices(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(registry, "order_entries", lambda spark, _: entries(spark, random_entries(9, [1999], 40)))
-    for query, page in (("heatmap_all_years", live_heatmap_page),):
+    for query, page in (("heatmap_all_years", live_heatmap_page), ("share_extents", live_sunburst_page)):
         folder = str(tmp_path / query)
         found = registry.queries()[query](spark, folder)
         assert found.count() == page(registry.order_entries(spark, folder)).count()
