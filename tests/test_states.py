@@ -21,10 +21,11 @@ from timelens.operators.states import (
     day_state,
     merged_days,
     merged_sums,
+    tag_state,
     yearless_slices,
     yearly_slices,
 )
-from timelens.operators.totals import time_totals, totals
+from timelens.operators.totals import distinct_tags, time_totals, totals
 from timelens.plans.jobs import ROLLUP_KEYS, add_entries, build_rollups, rollup_table
 from timelens.plans.pages import histogram_page, live_heatmap_page, live_sunburst_page, stored_slice
 from timelens.session import new_work_dir
@@ -85,6 +86,28 @@ def test_states_merge(spark):
         assert rows_of(merge(merge(united).unionByName(made[0].limit(0)))) == rows_of(state(whole, ["project"]))
 
 
+def test_tag_lists_are_taken_apart_once(spark):
+    """Cells of many hours share a tag list; the generator gets it once for each project."""
+    base = spark.range(0, 4000, 1, 4).selectExpr(
+        "concat('p', id % 2) AS project", "IF(id % 4 < 2, array('Work', 'Fun'), array('Dogs')) AS type", "id AS hour"
+    )
+    found = tag_state(base, ["project"])
+    assert rows_of(found) == rows_of(distinct_tags(base, ["project"])) and found.count() == 2
+
+    def generated(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return generated(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return generated(node.plan())
+        own = int(node.metrics().apply("numOutputRows").value()) if kind == "GenerateExec" else 0
+        children = node.children()
+        return own + sum(generated(children.apply(i)) for i in range(children.size()))
+
+    found._jdf.collectToPython()
+    assert generated(found._jdf.queryExecution().executedPlan()) == 6
+
+
 def test_day_maps_hold_every_day_of_long_and_short_years(spark):
     for year, days in (("2020", 366), ("2021", 365), ("1900", 365), ("2000", 366)):
         masks = day_masks(spark.createDataFrame([(year,)], "year string"))
